@@ -5,15 +5,15 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
-    #"op1_suffix_dedup": "suffixes",
+    "op1_suffix_dedup": "suffixes",
     "op2_minmax_dedup": "minhash",
     "op3_sharding": "sharding",
-    #"op4_language_id": "langid",
+    "op4_language_id": "langid",
     "op5_mixing": "mixing",
-    #"op6_license_scan": "licenses",
-    #"op7_embedding_dedup": "embeddings",
+    "op6_license_scan": "licenses",
+    "op7_embedding_dedup": "embeddings",
     "op8_quality": "quality",
-    #"op9_pii": "pii",
+    "op9_pii": "pii",
     "op10_decontamination": "decontam",
 }
 
