@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,11 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def below(h: Column, share: float) -> Column:
+    """Of rows with a 64-bit hash those in the lowest ``share``."""
+    return F.shiftrightunsigned(h, 11) < F.lit(int(min(1.0, share) * (1 << 53)))
+
+
 def fresh(df: DataFrame, *names: str) -> None:
     """Refuse columns that the operator itself adds."""
     if clash := [n for n in df.columns if n.lower() in {x.lower() for x in names}]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DBL, LONG, STR, schema
+from .common import DBL, LONG, STR, below, schema
 from .kernel import chunks
 
 HIDDEN, SPAN, TRAIN_SPAN = 8, 192, 96
@@ -155,7 +155,11 @@ def train(docs: DataFrame, sample: int = 2400) -> tuple[list[str], dict] | None:
     """sample: documents trained on, those of the least hashes, of each a stretch in its middle."""
     t = F.col("text").cast("string")
     part = F.substring(t, F.greatest(F.lit(1), F.length(t) / 2 - TRAIN_SPAN / 2).cast("int"), F.lit(TRAIN_SPAN))
-    rows = docs.where("lang is not null and length(text) > 0").select(F.col("lang").cast("string").alias("lang"), part.alias("part"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "part").limit(sample).collect()
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.lit(5))
+    known = docs.where("lang is not null").count()
+    # a few times the sample leave the tasks, whatever their number
+    few = docs.where("lang is not null").where(below(h, 4 * sample / max(known, 1))).where("length(text) > 0")
+    rows = few.select(F.col("lang").cast("string").alias("lang"), part.alias("part"), h.alias("h")).orderBy("h", "part").limit(sample).collect()
     names = sorted({r.lang for r in rows})
     if not names:
         return None

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, DBL, INT, fresh, schema
+from .common import BIN, DBL, INT, below, fresh, schema
 from .kernel import Chunk, _sums, chunks, mix, powers
 
 DIM, WORDS, SHAPES, SLICES = 16, 1 << 14, 1 << 12, 16
@@ -188,16 +188,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Model | Non
     """sample: labelled documents of each class that are used, those of the least hashes of their ids."""
     vectors = word_vectors(docs)
     y = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
-    order = F.xxhash64("_id")
-    picked = F.broadcast(y.where("_y = 0").orderBy(order).limit(sample).union(y.where("_y = 1").orderBy(order).limit(sample)))  # at most 2 x sample rows
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(picked, "_id")
-    rows = rows.select((F.col("_id") * 2 + F.col("_y")).alias("doc_id"), "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(4 * sample)
-    got = rows.mapInArrow(_featurise(vectors), schema(doc_id=T.LongType(), x=BIN)).collect()
+    all_, order = dict(y.groupBy("_y").count().collect()), F.xxhash64("_id")
+    # a few times the sample leave the tasks, whatever their number
+    one = [y.where(F.col("_y") == k).where(below(order, 4 * sample / max(all_.get(k, 0), 1))).orderBy(order).limit(sample) for k in (0, 1)]
+    picked = F.broadcast(one[0].union(one[1]))  # at most 2 x sample rows
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(picked, "_id").select((F.col("_id") * 2 + F.col("_y")).alias("doc_id"), "text")
+    got = rows.mapInArrow(_featurise(vectors), schema(doc_id=T.LongType(), x=BIN)).orderBy(F.xxhash64("doc_id"), "x").limit(4 * sample).collect()
     got = sorted(got, key=lambda r: (hash((r.doc_id >> 1) * 2654435761 % 4294967291), r.x))
     x, label = np.array([np.frombuffer(r.x, np.float32) for r in got]), np.array([r.doc_id & 1 for r in got], float)
     if not len(label) or min(label.sum(), (1 - label).sum()) < 2:
         return None
-    model, all_ = fit(vectors, x, label), dict(y.groupBy("_y").count().collect())
+    model = fit(vectors, x, label)
     model.prior = float(np.log(all_[1] / all_[0]) - np.log(label.sum() / (1 - label).sum()))  # the sample is more even than the labels
     return model
 

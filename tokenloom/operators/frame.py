@@ -165,7 +165,7 @@ class TokenFrame:
             own = _level(F.col("txt"), top)
             own = F.struct(kind.alias("k"), own["n"].alias("n"))
             events = rows.select("fid", "seq", F.explode(F.concat(F.when(m, F.array(F.struct(own.alias("l"), F.lit(1).alias("a")))).otherwise(F.array()), F.when(F.col("_p"), F.transform(levels, lambda x: F.struct(x.alias("l"), F.lit(0).alias("a")))).otherwise(F.array()))).alias("e"))
-            w = Window.partitionBy("fid", "e.l.k", "e.l.n").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
+            w = Window.partitionBy("fid", "e.l.k", "e.l.n").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
             hits = events.withColumn("_to", F.min(F.when(F.col("e.a") == 0, F.col("seq"))).over(w)).where("e.a = 1 and _to is not null").select(F.col("fid").alias("_f"), F.col("seq").alias("_a"), "_to")
             back = hits.groupBy("_f", "_to").agg(F.max("_a").alias("_from")).select("_f", F.col("_to").alias("_s"), "_from")
             both = hits.select("_f", F.col("_a").alias("_s"), "_to").join(back, ["_f", "_s"], "full")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from .windows import in_order
+from .windows import after, before, in_order
 
 #: Tags that never have a closing partner.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -18,19 +18,20 @@ KNOWN = {
 
 def html_tokens(tokens: DataFrame) -> DataFrame:
     """From text tokens: names right after ``<`` or ``</`` get the type ``tag``; ``<`` gets its ``>`` as jmp, and the other way."""
+    tokens = tokens if "typ" in tokens.columns else tokens.withColumn("typ", F.lit(""))
     prev, prev2 = F.lag("txt").over(in_order()), F.lag("txt", 2).over(in_order())
     out = tokens.withColumn("_p", prev).withColumn("_p2", prev2)
     tag = F.col("txt").rlike("^[A-Za-z][A-Za-z0-9]*$") & ((F.col("_p") == "<") | ((F.col("_p") == "/") & (F.col("_p2") == "<")))
     out = out.withColumn("typ", F.when(F.coalesce(tag, F.lit(False)), "tag").otherwise(F.coalesce("typ", F.lit(""))))
-    close = F.min(F.when(F.col("txt") == ">", F.col("seq"))).over(in_order().rowsBetween(1, Window.unboundedFollowing))
-    opened = F.max(F.when(F.col("txt") == "<", F.col("seq"))).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
+    close = F.min(F.when(F.col("txt") == ">", F.col("seq"))).over(after())
+    opened = F.max(F.when(F.col("txt") == "<", F.col("seq"))).over(before())
     return out.withColumn("jmp", F.when(F.col("txt") == "<", close).when(F.col("txt") == ">", opened)).drop("_p", "_p2")
 
 
 def tags(tokens: DataFrame) -> DataFrame:
     """(fid, seq, lnr, name, closing, empty) of each tag of html_tokens."""
     t = html_tokens(tokens).withColumn("_c", F.lag("txt").over(in_order()) == "/").withColumn("_s", F.when(F.col("txt") == ">", F.lag("txt").over(in_order()) == "/"))
-    t = t.withColumn("_e", F.first("_s", ignorenulls=True).over(in_order().rowsBetween(1, Window.unboundedFollowing)))
+    t = t.withColumn("_e", F.last("_s", ignorenulls=True).over(after()))
     return t.where("typ = 'tag'").select("fid", "seq", "lnr", F.lower("txt").alias("name"), F.col("_c").alias("closing"), (F.lower("txt").isin(*VOID) | F.coalesce("_e", F.lit(False))).alias("empty"))
 
 
@@ -61,7 +62,7 @@ def with_partners(tokens: DataFrame) -> DataFrame:
     """bound of an opening tag: its closing one."""
     p = tag_pairs(tokens).where("problem is null").select(F.col("fid").alias("_f"), F.col("open_seq").alias("_s"), "close_seq")
     h = html_tokens(tokens)
-    return h.join(p, h.fid.eqNullSafe(F.col("_f")) & (F.col("seq") == F.col("_s")), "left").withColumn("bound", F.coalesce("close_seq", "bound")).drop("_f", "_s", "close_seq")
+    return h.join(p, h.fid.eqNullSafe(F.col("_f")) & (F.col("seq") == F.col("_s")), "left").withColumn("bound", F.coalesce("close_seq", F.col("bound") if "bound" in h.columns else F.lit(None).cast("long"))).drop("_f", "_s", "close_seq")
 
 
 def tag_counts(tokens: DataFrame) -> DataFrame:

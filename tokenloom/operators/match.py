@@ -95,26 +95,25 @@ class MatchFrame:
 
     # interval algebra: rows of self that stand in the relation to some row of other
 
-    def _sweep(self, other: MatchFrame, order: list[Column], value: Column, best, before: bool, test: Column) -> MatchFrame:
-        """Rows of self whose ``best`` value over the rows of other before (or after) them in the order passes the test."""
+    def _sweep(self, other: MatchFrame, order: list[Column], value: Column, best, test: Column) -> MatchFrame:
+        """Rows of self whose ``best`` value over the rows of other before them in the order passes the test."""
         a = self.df.withColumn("_o", F.lit(0))
         b = complete(other.df).withColumn("_o", F.lit(1))
-        w = Window.partitionBy("fid").orderBy(*order)
-        w = w.rowsBetween(Window.unboundedPreceding, 0) if before else w.rowsBetween(0, Window.unboundedFollowing)
+        w = Window.partitionBy("fid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         both = a.unionByName(b).withColumn("_v", best(F.when(F.col("_o") == 1, value)).over(w))
         return self._keep(both.where((F.col("_o") == 0) & test))
 
     def containing(self, other: MatchFrame) -> MatchFrame:
         """a.from <= b.from and b.upto <= a.upto."""
         # among the b that start at or after a, the least end is within a
-        order = [F.col("from_seq"), F.col("_o")]
-        return self._sweep(other, order, F.col("upto_seq"), F.min, False, F.col("_v") <= F.col("upto_seq"))
+        order = [F.desc("from_seq"), F.desc("_o")]
+        return self._sweep(other, order, F.col("upto_seq"), F.min, F.col("_v") <= F.col("upto_seq"))
 
     def inside(self, other: MatchFrame, strict: bool = False) -> MatchFrame:
         """Within some b (``strict``: b without its end tokens)."""
         if strict:
             other = MatchFrame(other.df.withColumn("from_seq", F.col("from_seq") + 1).withColumn("upto_seq", F.col("upto_seq") - 1).where("from_seq <= upto_seq"))
-        return self._sweep(other, [F.col("from_seq"), F.desc("_o")], F.col("upto_seq"), F.max, True, F.col("_v") >= F.col("upto_seq"))
+        return self._sweep(other, [F.col("from_seq"), F.desc("_o")], F.col("upto_seq"), F.max, F.col("_v") >= F.col("upto_seq"))
 
     def not_inside(self, other: MatchFrame) -> MatchFrame:
         return self.minus(self.inside(other, strict=True))

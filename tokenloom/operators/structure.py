@@ -7,7 +7,8 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from .windows import in_order
+
+from .windows import after, in_order, upto
 
 _NOT_CALLS = ("if", "while", "for", "switch", "return", "sizeof", "catch")
 
@@ -25,8 +26,7 @@ def functions(tokens: DataFrame) -> DataFrame:
     t = source(tokens).select("fid", "seq", "lnr", "txt", "typ", "curly", "round", "jmp")
     t = t.withColumn("_n1", F.lead("txt").over(in_order())).withColumn("_s1", F.lead("seq").over(in_order())).withColumn("_p1", F.lag("txt").over(in_order())).withColumn("_p2", F.lag("txt", 2).over(in_order())).withColumn("_p3", F.lag("txt", 3).over(in_order()))
     # the next { or ; or } decides what a bracket pair heads
-    t = t.withColumn("_stop", F.first(F.when(F.col("txt").isin("{", ";", "}", "=") & (F.col("round") == 0), F.struct("txt", "seq", "jmp")), ignorenulls=True).over(in_order().rowsBetween(1, Window.unboundedFollowing)))
-    t = t.withColumn("_semi", F.sum(F.when(F.col("txt") == ";", 1).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("_stop", F.last(F.when(F.col("txt").isin("{", ";", "}", "=") & (F.col("round") == 0), F.struct("txt", "seq", "jmp")), ignorenulls=True).over(after()))
     name = t.where((F.col("typ") == "ident") & (F.col("_n1") == "(") & (F.col("round") == 0) & ~F.col("txt").isin(*_NOT_CALLS) & (F.coalesce("_p1", F.lit("")) != ".") & (F.coalesce("_p1", F.lit("")) != "->"))
     name = name.select(F.col("fid").alias("_f"), F.col("txt").alias("name"), F.col("seq").alias("name_seq"), F.col("lnr").alias("from_lnr"), F.col("_s1").alias("_o"), F.when(F.col("_p1") == "::", F.col("_p2")).alias("ns"), F.col("curly").alias("_c"))
     pair = t.where("txt = ')' and jmp is not null").select(F.col("fid").alias("_f"), F.col("jmp").alias("_o"), F.col("_stop").alias("_b"), F.col("_n1").alias("_after"))
@@ -45,7 +45,7 @@ def with_function(tokens: DataFrame) -> DataFrame:
     """fct: the function whose span holds the token, else ``global``. Functions don't nest, so the last one begun decides: an as-of look-up."""
     f = functions(tokens).select(F.col("fid").alias("_f"), F.col("name_seq").alias("_s"), F.struct("name", "end_seq").alias("_fn"))
     out = tokens.join(f, tokens.fid.eqNullSafe(F.col("_f")) & (F.col("seq") == F.col("_s")), "left").drop("_f", "_s")
-    last = F.last("_fn", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last("_fn", ignorenulls=True).over(upto())
     return out.withColumn("_l", last).withColumn("fct", F.when(F.col("_l.end_seq") >= F.col("seq"), F.col("_l.name")).otherwise("global")).drop("_fn", "_l")
 
 
@@ -321,7 +321,7 @@ def symbols(tokens: DataFrame) -> DataFrame:
     t = t.join(f, t.fid.eqNullSafe(F.col("_f")) & (F.col("fct") == F.col("_n")) & (F.col("seq") <= F.col("end_seq")), "left").drop("_f", "_n")
     last = F.max("seq").over(Window.partitionBy("fid"))
     # the end of the enclosing block: the next closer one level up
-    up = Window.partitionBy("fid", "_lv").orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
+    up = Window.partitionBy("fid", "_lv").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_lv", F.when(F.col("txt") == "}", F.col("curly") + 1).otherwise(F.col("curly")))
     t = t.withColumn("_close", F.min(F.when(F.col("txt") == "}", F.col("seq"))).over(up)).withColumn("_end", F.when(F.col("round") > 0, F.coalesce("end_seq", last)).when(F.col("curly") == 0, last).otherwise(F.coalesce("_close", last)))
     ids = t.where(F.col("typ") == "ident")

@@ -9,6 +9,7 @@ from .functions import scalar
 from .operators import duplicates, lexer, markup, metrics, structure
 from .operators.frame import TokenFrame
 from .operators.match import MatchFrame
+from .operators.windows import after
 from .plans import pattern
 from .plans.program import Program
 from .plans.script import Session
@@ -213,9 +214,9 @@ def _(spark, sf):
     return m.groupBy("fid").agg(F.count("*").alias("n"), F.sum(F.col("bound") - F.col("seq")).alias("tokens"))
 
 
-@query("contains_range", f"WITH {_nest()}, h AS (SELECT a.fid, a.seq FROM nest a WHERE a.txt = '{{' AND a.jmp IS NOT NULL AND EXISTS (SELECT 1 FROM nest b WHERE b.fid = a.fid AND b.seq > a.seq AND b.seq < a.jmp AND b.txt = 'color')) {_BY_FID} h GROUP BY fid")
+@query("contains_range", f"WITH {_nest()}, h AS (SELECT a.fid, a.seq FROM nest a WHERE a.txt = '{{' AND a.jmp IS NOT NULL AND EXISTS (SELECT 1 FROM nest b WHERE b.fid = a.fid AND b.seq > a.seq AND b.seq < a.jmp AND b.txt = '0')) {_BY_FID} h GROUP BY fid")
 def _(spark, sf):
-    return by_fid(TokenFrame(nested(spark, sf)).mark("{").contains("color").marks())
+    return by_fid(TokenFrame(nested(spark, sf)).mark("{").contains("0").marks())
 
 
 @query("contains_no", f"WITH {_nest()}, h AS (SELECT a.fid, a.seq FROM nest a WHERE a.txt = '(' AND a.jmp IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nest b WHERE b.fid = a.fid AND b.seq > a.seq AND b.seq < a.jmp AND b.txt = ',')) {_BY_FID} h GROUP BY fid")
@@ -257,9 +258,9 @@ for _name, _op, _cond in (("save_or", "|", "txt = 'the' OR txt = 'and'"), ("save
     query(_name, f"WITH {_tok()} {_BY_FID} tok WHERE {_cond} GROUP BY fid")(_make(_op))
 
 
-@query("script_commands", f"WITH {_nest()}, h AS (SELECT a.fid, a.seq FROM nest a WHERE a.txt = '{{' AND a.jmp IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nest b WHERE b.fid = a.fid AND b.seq > a.seq AND b.seq < a.jmp AND b.txt = 'margin')) SELECT fid, count(*) AS n FROM h GROUP BY fid")
+@query("script_commands", f"WITH {_nest()}, h AS (SELECT a.fid, a.seq FROM nest a WHERE a.txt = '{{' AND a.jmp IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nest b WHERE b.fid = a.fid AND b.seq > a.seq AND b.seq < a.jmp AND b.txt = 'padding')) SELECT fid, count(*) AS n FROM h GROUP BY fid")
 def _(spark, sf):
-    s = Session(nested(spark, sf)).run("m {; c no margin; ps create X")
+    s = Session(nested(spark, sf)).run("m {; c no padding; ps create X")
     return s.sets.df.groupBy("fid").agg(F.count("*").alias("n"))
 
 
@@ -274,7 +275,7 @@ def _sets(spark, sf):
     t = lexer.with_defaults(toks(spark, sf))
     a = pattern.search(t, "of /^[a-z]+$", "A")
     b = pattern.search(t, "/^[a-z]+$ the /^[a-z]+$", "B")
-    w = Window.partitionBy("fid").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    w = after()
     s = t.withColumn("u", F.min(F.when(F.col("txt") == ".", F.col("seq"))).over(w)).where("txt = '.' and u is not null")
     return a, b, MatchFrame(s.select(F.lit("C").alias("set"), "fid", F.col("seq").alias("from_seq"), F.col("u").alias("upto_seq"), F.col("lnr").alias("from_lnr"), F.col("lnr").alias("upto_lnr")))
 
@@ -341,9 +342,9 @@ def _(spark, sf):
     return by_fid(pattern.search(lexer.with_defaults(toks(spark, sf)), "x:/^[a-z]+$ :x").df.withColumnRenamed("from_seq", "seq"))
 
 
-@query("pe_braces", f"WITH {_nest()}, h AS (SELECT a.fid, a.seq FROM nest a WHERE a.txt = '{{' AND a.jmp IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nest b WHERE b.fid = a.fid AND b.seq > a.seq AND b.seq < a.jmp AND b.txt = 'margin')) SELECT fid, count(*) AS n FROM h GROUP BY fid")
+@query("pe_braces", f"WITH {_nest()}, h AS (SELECT a.fid, a.seq FROM nest a WHERE a.txt = '{{' AND a.jmp IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nest b WHERE b.fid = a.fid AND b.seq > a.seq AND b.seq < a.jmp AND b.txt = 'padding')) SELECT fid, count(*) AS n FROM h GROUP BY fid")
 def _(spark, sf):
-    return pattern.search(nested(spark, sf), "{ ^margin* }").df.groupBy("fid").agg(F.count("*").alias("n"))
+    return pattern.search(nested(spark, sf), "{ ^padding* }").df.groupBy("fid").agg(F.count("*").alias("n"))
 
 
 # programs
@@ -366,7 +367,7 @@ def _(spark, sf):
     return d.groupBy((F.col("to") - F.col("lnr")).alias("lnr")).agg(F.count("*").alias("n"))
 
 
-@query("prog_strings", "SELECT doc_id, octet_length(text::BLOB)::INT AS bytes, substr(text, 4, 5) AS part, instr(text, 'an')::INT AS first, (CASE WHEN instr(reverse(text), 'na') = 0 THEN 0 ELSE length(text) - instr(reverse(text), 'na') END)::INT AS last, replace(left(text, 40), 'e', '3') AS swapped FROM documents")
+@query("prog_strings", "SELECT doc_id, octet_length(encode(text))::INT AS bytes, substr(text, 4, 5) AS part, instr(text, 'an')::INT AS first, (CASE WHEN instr(reverse(text), 'na') = 0 THEN 0 ELSE length(text) - instr(reverse(text), 'na') END)::INT AS last, replace(left(text, 40), 'e', '3') AS swapped FROM documents")
 def _(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     return d.select("doc_id", scalar.strlen(F.col("text")).alias("bytes"), scalar.substr(F.col("text"), 3, 5).alias("part"), scalar.strstr(F.col("text"), "an").alias("first"), scalar.strrstr(F.col("text"), "an").cast("int").alias("last"), scalar.gsub("e", "3", F.substring("text", 1, 40)).alias("swapped"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import structure
-from ..operators.windows import in_order
+from ..operators.windows import upto
 
 SOURCES = ("getenv", "read", "recv", "recvfrom", "fgets", "gets", "fread", "scanf", "fscanf", "getchar", "getc", "argv")
 TARGETS = ("strcpy", "strcat", "sprintf", "vsprintf", "memcpy", "gets", "system", "popen", "exec", "execl", "execv", "alloca")
@@ -38,7 +38,7 @@ def parse_config(text: str) -> dict[str, list[tuple[str, str, str]]]:
 def assignments(tokens: DataFrame) -> DataFrame:
     """(fid, fct, seq, lhs, rhs): each name in the statement after ``lhs =``."""
     t = structure.with_function(structure.source(tokens))
-    stop = F.sum(F.when(F.col("txt").isin(";", "{", "}"), 1).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    stop = F.sum(F.when(F.col("txt").isin(";", "{", "}"), 1).otherwise(0)).over(upto())
     t = t.withColumn("_st", stop).withColumn("_n", F.lead("txt").over(in_order()))
     left = F.max(F.when((F.col("typ") == "ident") & F.col("_n").isin("=", "+=", "|="), F.struct("seq", F.col("txt").alias("name")))).over(Window.partitionBy("fid", "_st").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     return t.withColumn("_l", left).where("typ = 'ident' and _l is not null").select("fid", "fct", "seq", F.col("_l.name").alias("lhs"), F.col("txt").alias("rhs"))
@@ -59,7 +59,7 @@ def parameters(tokens: DataFrame) -> DataFrame:
     """(fct, name, pos): the last name of each parameter."""
     f = structure.functions(tokens).select(F.col("fid").alias("_f"), F.col("name").alias("fct"), "name_seq", "body_seq")
     t = structure.source(tokens)
-    j = t.join(f, F.col("fid").eqNullSafe(F.col("_f")) & (F.col("seq") > F.col("name_seq")) & (F.col("seq") < F.col("body_seq")))
+    j = t.drop("fct").join(f, F.col("fid").eqNullSafe(F.col("_f")) & (F.col("seq") > F.col("name_seq")) & (F.col("seq") < F.col("body_seq")))
     pos = F.sum(F.when((F.col("txt") == ",") & (F.col("round") == 1), 1).otherwise(0)).over(Window.partitionBy("_f", "name_seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     return j.withColumn("pos", pos).where("typ = 'ident'").groupBy("fct", "pos").agg(F.max_by("txt", "seq").alias("name"))
 
@@ -67,7 +67,7 @@ def parameters(tokens: DataFrame) -> DataFrame:
 def returned(tokens: DataFrame) -> DataFrame:
     """(fct, name): names in return statements."""
     t = structure.with_function(structure.source(tokens))
-    last = F.last(F.when(F.col("txt") == "return", 1).when(F.col("txt").isin(";", "{", "}"), 0), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(F.col("txt") == "return", 1).when(F.col("txt").isin(";", "{", "}"), 0), ignorenulls=True).over(upto())
     return t.withColumn("_r", last).where("_r = 1 and typ = 'ident' and fct <> 'global'").select("fct", F.col("txt").alias("name")).distinct()
 
 
