@@ -95,6 +95,8 @@ def parse(text: str, regular: bool = False) -> Pattern:
     words = body.split()
     if not words:
         raise ValueError("the pattern is empty")
+    if regular:  # operators may touch their operands
+        words = [x for w in words for x in ([w] if w.startswith("/") else re.sub(r"(?<!\\)([(|]|\)[*+?]?)", r" \1 ", w).split())]
     bar, left, right = ("|", "(", ")") if regular else ("\\|", "\\(", "\\)")
     at = 0
 

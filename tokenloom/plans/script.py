@@ -1,8 +1,8 @@
-"""Command lines: ``m switch\\; n {\\; c top no default\\; ps create X``, run on a session.
+r"""Command lines: ``m switch; n {; c top no default; ps create X``, run on a session.
 
 Commands may be shortened to any prefix that the table below lists first.
-``def name(a, b) .. end`` defines text macros of at most eight arguments\\; ``#``
-begins a comment\\; ``\\;`` ends a command (``\\\;`` is a token). The whole line is
+``def name(a, b) .. end`` defines text macros of at most eight arguments; ``#``
+begins a comment; ``;`` ends a command (``\;`` is a token). The whole line is
 one lazy plan.
 """
 
@@ -169,7 +169,7 @@ class Session:
         else:
             self._auto += 1
             name = f"SN{self._auto}"
-        found = pattern.search(self.frame.df, rest.replace("\\\;", "\\;"), name, regular=regular)
+        found = pattern.search(self.frame.df, rest, name, regular=regular)
         found = found.within_marks(self.frame) if within else found
         self.sets = found if self.sets is None else self.sets.delete(name).union(found)
 
@@ -224,6 +224,6 @@ class Session:
 
 
 def split(line: str) -> list[str]:
-    """Commands between semicolons\\; not at ``\\\;`` and not in a word of brackets."""
-    parts = re.split(r"(?<!\\)\\;", line)
+    r"""Commands between semicolons; not at ``\;`` and not in a word of brackets."""
+    parts = re.split(r"(?<!\\);", line)
     return [p.strip() for p in parts if p.strip()]

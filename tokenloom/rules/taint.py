@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import structure
-from ..operators.windows import upto
+from ..operators.windows import in_order, upto
 
 SOURCES = ("getenv", "read", "recv", "recvfrom", "fgets", "gets", "fread", "scanf", "fscanf", "getchar", "getc", "argv")
 TARGETS = ("strcpy", "strcat", "sprintf", "vsprintf", "memcpy", "gets", "system", "popen", "exec", "execl", "execv", "alloca")
