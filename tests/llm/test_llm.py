@@ -6,6 +6,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tokenloom.llm import decontam, embeddings, langid, licenses, minhash, mixing, pii, quality, sharding, suffixes
 from tokenloom.llm.kernel import Chunk, ngrams, slide
@@ -161,6 +162,13 @@ def test_shards_are_a_permutation(spark):
     assert again == {(r.doc_id, r.text): (r["shard"], r["slot"]) for r in got}
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 700])
+def test_ranges_are_those_of_a_binary_search(spark, n):
+    bounds = sorted({random.Random(i).randint(-500, 500) for i in range(n)})
+    got = spark.range(-600, 600).select("id", sharding._search(F.col("id"), bounds).alias("at")).collect()
+    assert [r["at"] for r in got] == np.searchsorted(bounds, [r.id for r in got], "right").tolist()
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
 def test_feistel_inverts(n):
     y = sharding.feistel(np.arange(n), n, 3)

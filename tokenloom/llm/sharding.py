@@ -15,6 +15,8 @@ not be among them (ValueError).
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ from pyspark.sql import types as T
 from .common import LONG, buckets, fresh, schema
 
 ROUNDS = 4
+#: Ranges that are numbered apart, at most; the driver gets a count for each.
+RANGES = 1 << 15
 _MUL = 1_103_515_245
 
 
@@ -73,13 +77,19 @@ def unfeistel(y: np.ndarray, n: int, seed: int) -> np.ndarray:
     return y
 
 
-def _search(x: Column, bounds: list[int], low: int = 0, high: int | None = None) -> Column:
-    """How many bounds are <= x, as a balanced tree of comparisons."""
-    high = len(bounds) if high is None else high
-    if low >= high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(x >= F.lit(bounds[mid]), _search(x, bounds, mid + 1, high)).otherwise(_search(x, bounds, low, mid))
+def _longs(x: list) -> Column:
+    """A literal array (of arrays) of longs, one expression whatever its length."""
+    return F.from_json(F.lit(json.dumps(x)), "array<array<bigint>>" if x and isinstance(x[0], list) else "array<bigint>")
+
+
+def _search(x: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are <= x: a look at every root-th bound, then at those between two."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds))
+    runs = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    run = F.greatest(F.size(F.filter(_longs([r[0] for r in runs]), lambda b: b <= x)), F.lit(1))
+    return (run - 1) * step + F.size(F.filter(F.element_at(_longs(runs), run), lambda b: b <= x))
 
 
 def row_numbers(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -88,21 +98,19 @@ def row_numbers(docs: DataFrame) -> tuple[DataFrame, int]:
     Ranges of doc_id (bounds from approximate quantiles, one number per
     partition) are numbered apart and shifted by the counts before them.
     """
-    spark = docs.sparkSession
-    parts = min(buckets(spark), 512)
+    parts = min(buckets(docs.sparkSession), RANGES)
     key = F.col("doc_id").cast("long")
-    cuts = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000)).head()[0] or []
-    at = _search(key, sorted(set(cuts)))
-    part = F.when(key.isNull(), -1).otherwise(at)
-    counts = dict(docs.groupBy(part.alias("p")).count().collect())  # one row for each of at most 513 ranges
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p] = total
-        total += counts[p]
+    cuts = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts))).head()[0] or []
+    part = F.when(key.isNull(), -1).otherwise(_search(key, sorted(set(cuts))))
+    counts = dict(docs.groupBy(part.alias("p")).count().collect())  # one row for each of at most RANGES + 1 ranges
+    before, total = [], 0
+    for p in range(-1, max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
     rest = [F.col(f"`{c}`").cast("string") for c in sorted(docs.columns) if c != "doc_id" and not dict(docs.dtypes)[c].startswith(("map", "variant"))]
     w = Window.partitionBy("_part").orderBy(F.col("doc_id").cast("long"), F.xxhash64(*rest) if rest else F.lit(0))
-    shift = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    out = docs.withColumn("_part", part).withColumn("row_num", (F.row_number().over(w) - 1 + shift[F.col("_part")]).cast("long"))
+    shift = F.element_at(_longs(before), (F.col("_part") + 2).cast("int"))
+    out = docs.withColumn("_part", part).withColumn("row_num", F.row_number().over(w) - 1 + shift)
     return out.drop("_part"), total
 
 
