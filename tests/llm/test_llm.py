@@ -150,6 +150,32 @@ def test_recall_of_near_pairs(spark):
     assert sum(got.get(a, -1) == got.get(b, -2) for a, b in pairs) >= 0.9 * len(pairs) and len(pairs) > 20
 
 
+def boilerplate(n, pairs, own, change):
+    """Documents that share 200 words and have ``own`` of their own; the first ``pairs`` have a copy with words changed."""
+    r, common, rows = random.Random(9), words(200, 70), []
+    for i in range(n):
+        w = words(own, 8000 + i)
+        rows.append(w)
+        if i < pairs:
+            v = list(w)
+            for k in range(change):
+                v[-1 - k] = r.choice(VOCAB)
+            rows.append(v)
+    ids = r.sample(range(10 * len(rows)), len(rows))
+    return [(k, " ".join(common + w)) for k, w in zip(ids, rows)], [(ids[2 * i], ids[2 * i + 1]) for i in range(pairs)]
+
+
+def true_jaccard(a, b):
+    x, y = ({tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_documents_a_little_below_the_threshold_stay(spark):
+    rows, _ = boilerplate(300, 0, 48, 0)
+    assert 0.65 < true_jaccard(rows[0][1], rows[1][1]) < 0.69
+    assert minhash.groups(docs(spark, rows)).collect() == []
+
+
 # 3
 
 

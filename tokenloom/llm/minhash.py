@@ -4,10 +4,12 @@ Word 3-gram shingles are hashed by 64 permutations; both the least and the
 greatest value under each are kept, 128 signature values from 64 evaluations.
 Each value of two signatures agrees with the probability of their Jaccard
 similarity. Bands of four values bring candidates together; in each band bucket
-every document is held against the least id and its predecessor; pairs whose
-signatures agree in at least ``threshold`` of all values are linked, and
-connected components are the groups. Documents of one signature are collapsed
-to one beforehand, so thousands of copies cost no more than one.
+every document is held against the least id and its predecessor. Pairs whose
+signatures agree in ``threshold`` less ``SLACK`` of all values, a loose bound
+of almost four standard errors, are verified: those with a true Jaccard
+similarity of at least ``threshold`` are linked, and connected components are
+the groups. Documents of one shingle set (by a 128-bit sum over it) are
+collapsed to one beforehand, so thousands of copies cost no more than one.
 
 Nulls: rows without a doc_id or text take no part. Texts without words belong to
 no group; one or two words are a single shingle. Rows of one doc_id are one
@@ -29,7 +31,7 @@ from .common import BIN, LONG, materialize, schema, texts
 from .graph import components
 from .kernel import Chunk, chunks, mix, ngrams
 
-PERMUTATIONS, BAND, SHINGLE = 64, 4, 3
+PERMUTATIONS, BAND, SHINGLE, SLACK = 64, 4, 3, 0.15
 
 
 def coefficients(n: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -73,23 +75,49 @@ def bands(sig: np.ndarray, rows: int = BAND) -> np.ndarray:
     return out
 
 
+def unique(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, in order."""
+    order = np.lexsort((g, doc))
+    g, doc = g[order], doc[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+    return g[new], doc[new]
+
+
+def fingerprints(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over each text's distinct shingles."""
+    start = np.unique(doc, return_index=True)[1]
+    return np.stack([np.add.reduceat(mix(g ^ np.uint64(x)), start) for x in (0, 0x5851F42D4C957F2D)], 1)
+
+
 def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for c in chunks(b):
-            which, sig = signatures(*shingles(c))
+            g, doc = unique(*shingles(c))
+            which, sig = signatures(g, doc)
             if len(which):
                 band = bands(sig).view(np.int64)
                 low = sig.astype(np.uint8)  # b-bit signatures, to verify by
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(c.ids[which], pa.int64()),
+                        pa.array([x.tobytes() for x in fingerprints(g, doc)], pa.binary()),
                         pa.array([x.tobytes() for x in low], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, band.size + 1, band.shape[1], dtype=np.int32), pa.array(band.ravel(), pa.int64())),
                     ],
-                    ["doc_id", "sig", "bands"],
+                    ["doc_id", "key", "sig", "bands"],
                 )
 
 
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for c in chunks(b):
+            g, doc = unique(*shingles(c))
+            which, start = np.unique(doc, return_index=True)
+            if len(which):
+                yield pa.RecordBatch.from_arrays([pa.array(c.ids[which], pa.int64()), pa.array([x.tobytes() for x in np.split(g, start[1:])], pa.binary())], ["doc_id", "grams"])
+
+
 def _agree(threshold: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in it:
@@ -102,23 +130,41 @@ def _agree(threshold: float):
     return run
 
 
+def _jaccard(threshold: float):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in it:
+            keep = np.zeros(t.num_rows, bool)
+            for i, (x, y) in enumerate(zip(t.column(2), t.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                keep[i] = both >= threshold * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """a, b and the value of each."""
+    return pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
+
+
 def groups(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, keeper) of every document in a group of two or more; the keeper's row has its own id in both."""
-    out = schema(doc_id=LONG, sig=BIN, bands=T.ArrayType(LONG))
-    signed = texts(docs).mapInArrow(_sign, out)
-    # the bands stand for the whole signature: all rows of one key have the same
-    signed = materialize(signed.withColumn("key", F.xxhash64("sig", "bands")), "signatures")
-    w = Window.partitionBy("key", "sig").orderBy("doc_id")
-    same = materialize(signed.select("key", "doc_id", "sig").withColumn("rep", F.min("doc_id").over(w)).select("doc_id", "rep").distinct(), "same")
+    pair = schema(a=LONG, b=LONG)
+    signed = materialize(texts(docs).mapInArrow(_sign, schema(doc_id=LONG, key=BIN, sig=BIN, bands=T.ArrayType(LONG))), "signatures")
+    w = Window.partitionBy("key").orderBy("doc_id")
+    same = materialize(signed.select("key", "doc_id").withColumn("rep", F.min("doc_id").over(w)).select("doc_id", "rep").distinct(), "same")
     # a document that has several rows takes part with each of its texts
-    reps = signed.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = signed.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "key"])
+    reps = materialize(reps, "reps")
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
     w = Window.partitionBy("band").orderBy("doc_id")
     linked = rows.withColumn("star", F.min("doc_id").over(w)).withColumn("chain", F.lag("doc_id").over(w))
     pairs = linked.select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("star", "chain"))).alias("b")).where("b is not null and a <> b").distinct()
-    sig = reps.select("doc_id", "sig")
-    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    near = both.mapInArrow(_agree(threshold), schema(a=LONG, b=LONG))
+    likely = materialize(_beside(pairs, reps.select("doc_id", "sig")).mapInArrow(_agree(threshold - SLACK), pair).distinct(), "likely")
+    members = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = texts(docs).join(members, "doc_id", "left_semi").distinct().mapInArrow(_sets, schema(doc_id=LONG, grams=BIN))
+    near = _beside(likely, materialize(sets, "sets")).mapInArrow(_jaccard(threshold), pair)
     edges = near.union(same.where("doc_id <> rep").select("doc_id", "rep"))
     found = components(edges)
     return found.union(found.select("root", "root").distinct()).toDF("doc_id", "keeper")
