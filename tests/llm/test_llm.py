@@ -176,6 +176,17 @@ def test_documents_a_little_below_the_threshold_stay(spark):
     assert minhash.groups(docs(spark, rows)).collect() == []
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_pairs_in_hot_buckets_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    rows, pairs = boilerplate(400, 80, 48, 36)
+    text = dict(rows)
+    assert all(0.7 <= true_jaccard(text[a], text[b]) < 0.76 for a, b in pairs)
+    got = dict(minhash.groups(docs(spark, rows)).collect())
+    assert sum(got.get(a, -1) == got.get(b, -2) for a, b in pairs) >= 0.98 * len(pairs)
+    assert set(got) <= {x for p in pairs for x in p}
+
+
 # 3
 
 

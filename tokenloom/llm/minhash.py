@@ -4,7 +4,9 @@ Word 3-gram shingles are hashed by 64 permutations; both the least and the
 greatest value under each are kept, 128 signature values from 64 evaluations.
 Each value of two signatures agrees with the probability of their Jaccard
 similarity. Bands of four values bring candidates together; in each band bucket
-every document is held against the least id and its predecessor. Pairs whose
+every document is held against the least id and its predecessor, then against
+all others of the bucket that aren't linked with it by then, block by block, so
+a hot bucket is many tasks. Pairs whose
 signatures agree in ``threshold`` less ``SLACK`` of all values, a loose bound
 of almost four standard errors, are verified: those with a true Jaccard
 similarity of at least ``threshold`` are linked, and connected components are
@@ -32,6 +34,8 @@ from .graph import components
 from .kernel import Chunk, chunks, mix, ngrams
 
 PERMUTATIONS, BAND, SHINGLE, SLACK = 64, 4, 3, 0.15
+#: Members of a bucket that are compared with so many others at a time.
+BLOCK = 512
 
 
 def coefficients(n: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +152,60 @@ def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose 3-gram sets have at least the Jaccard similarity ``threshold``."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = texts(docs).join(members, "doc_id", "left_semi").distinct().mapInArrow(_sets, schema(doc_id=LONG, grams=BIN))
+    return _beside(pairs, materialize(sets, "sets")).mapInArrow(_jaccard(threshold), schema(a=LONG, b=LONG))
+
+
+def _block_pairs(least: float):
+    """Rows (band, p, q, block, doc_id, root, sig) in order of the first three: each block p against block q."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for b in it:
+            t = pa.Table.from_batches([b] if left is None else [*left.to_batches(), b])
+            k = np.stack([t.column(i).to_numpy() for i in range(3)], 1)
+            cut = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+            if len(cut):
+                yield from compare(t.slice(0, cut[-1]), [0, *cut.tolist()])
+                t = t.slice(cut[-1])
+            left = t
+        if left is not None and left.num_rows:
+            yield from compare(left, [0, left.num_rows])
+
+    def compare(t: pa.Table, cut: list[int]) -> Iterator[pa.RecordBatch]:
+        p, q, block, doc, root = (t.column(i).to_numpy() for i in range(1, 6))
+        sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        cutoff = (least * (1 - 1 / 256) + 1 / 256) * sig.shape[1]  # equal by chance
+        for low, high in zip(cut, cut[1:]):
+            at = np.arange(low, high)
+            x, y = (at, at) if p[low] == q[low] else (at[block[low:high] == p[low]], at[block[low:high] == q[low]])
+            for i in range(0, len(x), 16):
+                u = x[i : i + 16]
+                other = (root[u, None] != root[None, y]) & ((doc[u, None] < doc[None, y]) | (p[low] != q[low]))
+                if other.any():
+                    m, n = np.nonzero(other & ((sig[u, None] == sig[None, y]).sum(2, dtype=np.int32) >= cutoff))
+                    if len(m):
+                        a, b = doc[u[m]], doc[y[n]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _others(rows: DataFrame, reps: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b) of all pairs in a bucket that are of different components and agree in ``least`` of their signatures."""
+    w = Window.partitionBy("band")
+    of = rows.join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    of = of.withColumn("nr", F.row_number().over(w.orderBy("root", "doc_id", "key")) - 1).withColumn("n", F.count("*").over(w)).withColumn("mixed", F.min("root").over(w) != F.max("root").over(w))
+    of = of.where("mixed").withColumn("block", F.floor(F.col("nr") / BLOCK)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
+    of = of.select("band", F.least("block", "k").alias("p"), F.greatest("block", "k").alias("q"), "block", "doc_id", "root", "key")
+    of = of.join(reps.select("doc_id", "key", "sig"), ["doc_id", "key"]).select("band", "p", "q", "block", "doc_id", "root", "sig")
+    of = of.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return of.mapInArrow(_block_pairs(least), schema(a=LONG, b=LONG)).distinct()
+
+
 def groups(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, keeper) of every document in a group of two or more; the keeper's row has its own id in both."""
     pair = schema(a=LONG, b=LONG)
@@ -157,15 +215,17 @@ def groups(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     # a document that has several rows takes part with each of its texts
     reps = signed.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "key"])
     reps = materialize(reps, "reps")
-    rows = reps.select("doc_id", F.explode("bands").alias("band"))
-    w = Window.partitionBy("band").orderBy("doc_id")
-    linked = rows.withColumn("star", F.min("doc_id").over(w)).withColumn("chain", F.lag("doc_id").over(w))
+    rows = reps.select("doc_id", "key", F.explode("bands").alias("band"))
+    w = Window.partitionBy("band").orderBy("doc_id", "key")
+    linked = rows.withColumn("star", F.min("doc_id").over(w)).withColumn("chain", F.lag("doc_id").over(w)).withColumn("n", F.count("*").over(Window.partitionBy("band")))
+    linked = materialize(linked.where("n > 1"), "buckets")
     pairs = linked.select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("star", "chain"))).alias("b")).where("b is not null and a <> b").distinct()
     likely = materialize(_beside(pairs, reps.select("doc_id", "sig")).mapInArrow(_agree(threshold - SLACK), pair).distinct(), "likely")
-    members = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts(docs).join(members, "doc_id", "left_semi").distinct().mapInArrow(_sets, schema(doc_id=LONG, grams=BIN))
-    near = _beside(likely, materialize(sets, "sets")).mapInArrow(_jaccard(threshold), pair)
+    near = materialize(_verified(docs, likely, threshold), "near")
     edges = near.union(same.where("doc_id <> rep").select("doc_id", "rep"))
+    rest = _others(linked.where("n > 2").select("band", "doc_id", "key"), reps, components(near), threshold - SLACK)
+    rest = materialize(rest.join(likely, ["a", "b"], "left_anti"), "likely")
+    edges = edges.union(_verified(docs, rest, threshold))
     found = components(edges)
     return found.union(found.select("root", "root").distinct()).toDF("doc_id", "keeper")
 
