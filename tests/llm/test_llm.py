@@ -361,6 +361,21 @@ def test_leaks_are_those_of_brute_force(spark):
     assert got == want and (5000, first.item_id) in got and (5001, first.item_id) not in got
 
 
+def test_short_answers_are_verified(spark):
+    items = spark.createDataFrame([(1, " ".join(words(30, 41)) + ". Zanzibar."), (2, "Which? " + " ".join(words(30, 42)) + ".")], "item_id long, text string")
+    q, a = " ".join(words(30, 41)), " ".join(words(30, 42))
+    rows = [(1, q + ". Zanzibar."), (2, q + ". Timbuktu."), (3, "Which? " + a), (4, "Whose? " + a)]
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), items).collect()} == {(1, 1), (3, 2)}
+
+
+def test_one_long_item_does_not_widen_the_window_of_others(spark):
+    short = words(40, 51)
+    items = spark.createDataFrame([(1, " ".join(short[:30]) + ". " + " ".join(short[30:]) + "."), (2, " ".join(words(5000, 52)) + ". Last words here.")], "item_id long, text string")
+    far = [x for i in range(0, 40, 5) for x in [*short[i : i + 5], *words(300, 600 + i)]]
+    rows = [(1, " ".join(far)), (2, " ".join(words(300, 61) + short + words(300, 62))), (3, " ".join(words(5000, 52)) + ". Last words here.")]
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), items).collect()} == {(2, 1), (3, 2)}
+
+
 # odd tables
 
 

@@ -5,9 +5,12 @@ posting blocks that know their greatest weight. Every training document is cut
 into passages of 2s words, s apart, s being at least the longest item, so any
 copy of an item lies whole in one passage. Every passage is a query; all items
 with at least ``share`` of the score that the item itself would get are
-retrieved (block-max WAND skips what cannot reach that), and verified: half of
-the distinct 3-grams of its question and half of the 2-grams of its answer (its
-last sentence) must stand in the passage.
+retrieved (block-max WAND skips what cannot reach that), and verified in windows
+sized like the passages, but by the item's own length (64 words at least): in
+one of them it must reach its share of the score, and half of the distinct
+3-grams of its question and half of the 2-grams of its answer (its last
+sentence) must stand. A question or answer of fewer words is one run of words
+that must stand there.
 
 An upper bound summed over the passage's words by numpy settles most passages
 before any list is opened; it skips only what WAND could not return either.
@@ -33,6 +36,8 @@ from .common import DBL, LONG, schema, texts
 from .kernel import Chunk, chunks, ngrams
 
 K1, B, BLOCK = 1.2, 0.75, 16
+#: Words of the shortest passage step.
+LEAST = 64
 #: Items per index; a larger benchmark is searched in several passes.
 SHARD_ITEMS = 50_000
 
@@ -51,6 +56,12 @@ def parts(text: str) -> tuple[str, str]:
     return " ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])
 
 
+def grams_of(text: str, k: int) -> tuple[int, set[int]]:
+    """The distinct k-grams of a text and k; of a text of fewer words, all its words as one."""
+    k = max(1, min(k, len(_hashes(text, 1))))
+    return k, {*_hashes(text, k).tolist()}
+
+
 class Index:
     """Postings of some items; df, N and mean length are those of the whole benchmark."""
 
@@ -67,7 +78,9 @@ class Index:
         self.keys = [r[1] for r in rows]
         self.theta = [share * r[0] for r in rows]
         self.least = min(self.theta, default=np.inf)
-        self.qa = [tuple({*_hashes(x, k).tolist()} for x, k in zip(parts(r[4]), (3, 2), strict=True)) for r in rows]
+        self.qa = [tuple(grams_of(x, k) for x, k in zip(parts(r[4]), (3, 2), strict=True)) for r in rows]
+        self.size = [max(LEAST, len(_hashes(r[4], 1))) for r in rows]
+        self.weights = [dict(zip(r[2].tolist(), r[3].tolist(), strict=True)) for r in rows]
         at: dict[int, tuple[list[int], list[float]]] = {}
         for i, r in enumerate(rows):
             for t, w in zip(r[2].tolist(), r[3].tolist(), strict=True):
@@ -118,6 +131,22 @@ def passages(words: int, s: int) -> list[tuple[int, int]]:
     return [(a, min(words, a + 2 * s)) for a in range(0, max(1, words - s), s)]
 
 
+def verified(index: Index, item: int, h: np.ndarray) -> Iterator[tuple[float, float, float]]:
+    """Score and overlaps of question and answer in each of the item's windows of these words that holds it."""
+    n, size = len(h), index.size[item]
+    g = ngrams(h, 2)
+    weight = index.weights[item]
+    own = np.fromiter((t in weight for t in g.tolist()), bool, len(g))
+    for a, b in passages(n, size):
+        if not own[a : b - 1].any():
+            continue
+        score = sum(weight[t] for t in {*g[a : b - 1][own[a : b - 1]].tolist()})
+        if score >= index.theta[item] * (1 - 1e-12):
+            qo, ao = (len(x & {*ngrams(h[a:b], k).tolist()}) / len(x) if x else 1.0 for k, x in index.qa[item])
+            if qo >= 0.5 and ao >= 0.5:
+                yield score, qo, ao
+
+
 def _search(index: Index, s: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -137,14 +166,8 @@ def _search(index: Index, s: int):
                 high = np.minimum(c.first[doc + 1], low + 2 * s)
                 for d, x, y in zip(*(v[np.flatnonzero(total[high - 1] - total[low] >= index.least * (1 - 1e-9))] for v in (doc, low, high)), strict=True):
                     terms = {*g[x : y - 1][hit[x : y - 1]].tolist()}
-                    for item, score in wand(index, terms):
-                        q, a = index.qa[item]
-                        three = {*ngrams(c.h[x:y], 3).tolist()}
-                        two = {*g[x : y - 1].tolist()}
-                        qo = len(q & three) / len(q) if q else 1.0
-                        ao = len(a & two) / len(a) if a else 1.0
-                        if qo >= 0.5 and ao >= 0.5:
-                            rows.append((int(c.ids[d]), index.keys[item], score, qo, ao))
+                    for item, _ in wand(index, terms):
+                        rows += [(int(c.ids[d]), index.keys[item], *v) for v in verified(index, item, c.h[x:y])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["doc_id", "item_id", "score", "question", "answer"])
 
@@ -167,7 +190,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     found = spark.createDataFrame([], out)
     for i in range(0, len(rows), SHARD_ITEMS):
         index = Index(rows[i : i + SHARD_ITEMS], (df, len(rows), max(1.0, length / len(rows))), share)
-        found = found.union(texts(docs).mapInArrow(_search(index, max(64, longest)), out))
+        found = found.union(texts(docs).mapInArrow(_search(index, max(LEAST, longest)), out))
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("question").alias("question"), F.max("answer").alias("answer"))
 
 
