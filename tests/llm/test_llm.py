@@ -178,7 +178,8 @@ def test_documents_a_little_below_the_threshold_stay(spark):
 
 @pytest.mark.parametrize("block", [512, 16])
 def test_near_pairs_in_hot_buckets_are_found(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block * 2048)
     rows, pairs = boilerplate(400, 80, 48, 36)
     text = dict(rows)
     assert all(0.7 <= true_jaccard(text[a], text[b]) < 0.76 for a, b in pairs)
@@ -187,6 +188,57 @@ def test_near_pairs_in_hot_buckets_are_found(spark, monkeypatch, block):
     assert set(got) <= {x for p in pairs for x in p}
 
 
+def brute_near(rows, least=0.7):
+    """doc_id: (least id of its component, size, texts linked), by the true Jaccard similarity of all pairs."""
+    sets = {}
+    for d, t in rows:
+        w = [x.lower() for x in words_of(t or "")]
+        if d is not None and w:
+            sets.setdefault(frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))), set()).add(d)
+    near = {a: {b for b in sets if a is not b and len(a & b) >= least * len(a | b)} for a in sets}
+    out, seen = {}, set()
+    for a in sets:
+        if a not in seen:
+            todo, part = [a], {a}
+            while todo:
+                for b in near[todo.pop()] - part:
+                    part.add(b)
+                    todo.append(b)
+            seen |= part
+            ids = set().union(*(sets[x] for x in part))
+            if len(ids) > 1:
+                out |= {d: (min(ids), len(ids), len(near[x])) for x in part for d in sets[x]}
+    return out
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_links_are_those_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block * 2048)
+    r = random.Random(12)
+    rows = [(i, " ".join(words(80, 300 + i))) for i in range(60)]
+    for k in range(120):  # few near 0.7, where signatures may miss
+        w = rows[r.randrange(6)][1].split()
+        for _ in range(r.choice([0, 1, 2, 12])):
+            w[r.randrange(len(w))] = r.choice(VOCAB)
+        rows.append((100 + k, " ".join(w)))
+    rows += [(500, "one"), (501, "One"), (502, ""), (None, rows[0][1]), (503, None), (100, rows[20][1])]
+    rows = [x for x in rows if x[0] != 100] + [(504, rows[20][1])]
+    got = {x.doc_id: (x.keeper, x.group_size, x.n_links) for x in minhash.linked(docs(spark, rows)).collect()}
+    assert got == brute_near(rows)
+
+
+def test_query_is_brute_force_on_the_whole_table(spark):
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {x.doc_id: (x.keeper, x.group_size, x.n_links) for x in minhash.query(spark, SF).collect()}
+    assert got == brute_near(rows) and len(got) > 10
+
+
+def test_forest_connects_the_same():
+    a, b = minhash.forest(np.array([5, 9, 7, 9, 3]), np.array([3, 7, 9, 8, 5]))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(5, 3), (8, 7), (9, 7)]
+
+
 # 3
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -19,10 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-        large = both.withColumn("m", low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("m", low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        large = _least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = _least(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = materialize(small, "edges")
         state = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).head()
         discard(now)
@@ -30,3 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = state
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """The edges with the least of a and its neighbours as m: aggregated before the shuffle, so a node with many neighbours isn't one task's work."""
+    return edges.join(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "a")
