@@ -335,16 +335,46 @@ def test_licenses_with_edits(spark):
 # 7
 
 
-def test_near_vectors_are_all_found(spark):
+def brute_vectors(rows, least):
+    """vec_id: (class, size, links) by all pairs of distinct vectors."""
+    nodes = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            nodes.setdefault(tuple(v), set()).add(i)
+    unit = [np.array(v) / np.linalg.norm(v) for v in nodes]
+    ids, n = [*nodes.values()], len(nodes)
+    near = [[j for j in range(n) if j != i and len(unit[i]) == len(unit[j]) and min(ids[i]) != min(ids[j]) and unit[i] @ unit[j] >= least - 1e-9] for i in range(n)]
+    root = {d: d for s in ids for d in s}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in [(min(ids[i]), min(ids[j])) for i in range(n) for j in near[i]] + [(min(s), d) for s in ids for d in s]:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    size = {}
+    for d in root:
+        size.setdefault(find(d), []).append(d)
+    links = {d: sum(len(near[i]) for i in range(n) if d in ids[i]) for d in root}
+    return {d: (c, len(m), links[d]) for c, m in size.items() if len(m) > 1 for d in m}
+
+
+@pytest.mark.parametrize("block,leaf,least", [(8192, 1 << 16, 0.9), (32, 16, 0.9), (16, 64, 0.6)])
+def test_near_vectors_are_all_found(spark, monkeypatch, block, leaf, least):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "LEAF", leaf)
     r = np.random.default_rng(2)
-    x = r.normal(size=(400, 64))
-    x[200:260] = x[:60] + r.normal(size=(60, 64)) * r.uniform(0.05, 0.4, (60, 1))
+    x = r.normal(size=(400, 48))
+    x[200:260] = x[:60] + r.normal(size=(60, 48)) * r.uniform(0.05, 0.4, (60, 1))
     x[300:310] = x[0]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 0), (901, [], 0), (902, [0.0] * 64, 0), (903, [1.0, 2.0], 0), (904, [float("nan")] * 64, 0), (5, x[5].tolist(), 0)]
-    got = {(p.a, p.b) for p in embeddings.near_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.9).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
-    assert got == {*zip(a.tolist(), b.tolist())} and len(got) > 60
+    x[310:380] = x[1] + r.normal(size=(70, 48)) * 0.2
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 48), (903, [1.0, 2.0]), (904, [float("nan")] * 48), (5, x[5].tolist()), (6, x[7].tolist()), (905, [2.0, 4.1]), (None, x[3].tolist()), (906, (2 * x[8]).tolist()), (907, [1.0, None])]
+    d = spark.createDataFrame([(*v, 0, "n") for v in rows], "vec_id long, embedding array<double>, label int, node string")
+    got = {p.vec_id: (p.class_id, p.class_size, p.n_links) for p in embeddings.linked(d, least).collect()}
+    want = brute_vectors(rows, least)
+    assert got == want and len(got) > 60 and want[310][2] >= 69
 
 
 # 8
@@ -450,7 +480,7 @@ def test_no_operator_minds_odd_tables(spark, rows):
     assert pii.find(d).count() == 0
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(d, items).collect()} == ({(6, 4)} if rows else set())
     assert decontam.clean(d, items).count() == len(rows) - (1 if rows else 0)
-    assert embeddings.near_pairs(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert embeddings.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     with pytest.raises(ValueError):
         sharding.shard(d.withColumn("slot", d.doc_id))
 
