@@ -251,6 +251,22 @@ def test_shards_are_a_permutation(spark):
     assert again == {(r.doc_id, r.text): (r["shard"], r["slot"]) for r in got}
 
 
+def test_a_hot_id_and_null_ids_are_several_ranges(spark):
+    rows = docs(spark, [(7, f"t{i}") for i in range(400)] + [(None, f"n{i}") for i in range(300)] + [(i, "x") for i in range(300)]).withColumn("_part", F.lit("mine")).withColumn("range", F.lit("r")).withColumn("HASH", F.lit(1))
+    out = sharding.shard(rows, 10)
+    got = out.collect()
+    assert out.columns == [*rows.columns, "row_num", "shard", "slot"] and {r._part for r in got} == {"mine"} and {r.range for r in got} == {"r"}
+    assert sorted(r.row_num for r in got) == list(range(1000))
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.row_num)]
+    assert order == [None] * 300 + sorted([7] * 400 + list(range(300)))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        again = {(r.doc_id, r.text): r.row_num for r in sharding.shard(rows, 10).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert again == {(r.doc_id, r.text): r.row_num for r in got}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 700])
 def test_ranges_are_those_of_a_binary_search(spark, n):
     bounds = sorted({random.Random(i).randint(-500, 500) for i in range(n)})
@@ -387,6 +403,50 @@ def test_quality_of_held_out_labels(spark):
     assert np.mean([r.keep for r in out if r.quality == 1]) > 0.97
 
 
+def test_scores_are_those_of_a_plain_loop(spark):
+    """Word vectors, pooling and network once more, word by word, with the trained weights."""
+    d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(d, lab)
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    index, sums = [quality.index_vectors(n, n) for n in (quality.WORDS, quality.SHAPES)], [np.zeros((n, quality.DIM)) for n in (quality.WORDS, quality.SHAPES)]
+    at = {}
+    for k, t in rows:
+        raw = t.encode()
+        at[k] = [x.tolist() for x in quality.terms(Chunk(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), np.zeros(1), True))]
+        assert len(at[k][0]) == len(re.findall(r"[^ \t\n\v\f\r]+", t))
+        for s, i, ts in zip(sums, index, at[k]):
+            for j, x in enumerate(ts):
+                for m in (j - 2, j - 1, j + 1, j + 2):
+                    if 0 <= m < len(ts):
+                        s[x] += i[ts[m]]
+    for s, v in zip(sums, model.vectors):
+        n = s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-9)
+        assert np.allclose(n - n[np.abs(n).sum(1) > 0].mean(0), v[:, : quality.DIM], atol=1e-5)
+    got = {r.doc_id: r.p_quality for r in quality.score(d, lab).collect()}
+    for k, t in rows:
+        f = []
+        for v, ts in zip(model.vectors, at[k]):
+            x = [v[i] for i in ts]
+            f += [np.mean(x, 0), np.std(x, 0)] if x else [np.zeros(v.shape[1])] * 2
+            if v.shape[1] == quality.DIM:
+                f.append(sum((a * b for a, b in zip(x, x[1:])), np.zeros(quality.DIM)) / max(1, len(x)))
+        want = model.probability(np.concatenate(f)[None])[0] if t.split() else 0.0
+        assert abs(got[k] - want) < 1e-3
+
+
+def test_huge_ids_two_labels_and_clashing_columns(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    far = (1 << 62) + 5
+    big = d.withColumn("doc_id", F.col("doc_id") + far).withColumn("p", F.lit("mine")).withColumn("y", F.lit(1)).withColumn("id", F.lit(2))
+    more = lab.withColumn("doc_id", F.col("doc_id") + far)
+    both = more.union(more.where("quality = 0").withColumn("quality", F.lit(1)))  # the lower one counts
+    one, two = quality.score(big, more).collect(), quality.score(big, both.repartition(3)).collect()
+    assert {(r.doc_id, round(r.p_quality, 9)) for r in one} == {(r.doc_id, round(r.p_quality, 9)) for r in two}
+    kept = quality.keep_good(big, more)
+    assert kept.columns == big.columns and {r.p for r in kept.collect()} == {"mine"} and kept.count() == sum(r.p_quality >= 0.5 for r in one)
+
+
 # 9
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DBL, LONG, schema, texts
+from .common import DBL, LONG, schema, texts, without
 from .kernel import Chunk, chunks, ngrams
 
 K1, B, BLOCK = 1.2, 0.75, 16
@@ -40,6 +40,8 @@ K1, B, BLOCK = 1.2, 0.75, 16
 LEAST = 64
 #: Items per index; a larger benchmark is searched in several passes.
 SHARD_ITEMS = 50_000
+#: Bytes of items that the driver takes; test sets are small beside a corpus, and more is an error, not a cut.
+MOST_BYTES = 256 << 20
 
 
 def _hashes(text: str, k: int) -> np.ndarray:
@@ -177,8 +179,10 @@ def _search(index: Index, s: int):
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, question, answer) of each document and test item that it contains."""
     spark = docs.sparkSession
-    # the benchmark is read in shards of SHARD_ITEMS, each broadcast by itself
-    rows = sorted((int(k), t) for k, t in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").toLocalIterator())
+    some = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    if (size := some.agg(F.sum(F.octet_length("text"))).head()[0] or 0) > MOST_BYTES:
+        raise ValueError(f"the test items have {size} bytes; at most {MOST_BYTES} are taken at once")
+    rows = sorted((int(k), t) for k, t in some.collect())  # at most MOST_BYTES
     df: dict[int, int] = {}
     length, longest = 0, 0
     for _, t in rows:
@@ -196,8 +200,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     """``docs`` without those that contain a test item; all columns stay."""
-    bad = leaks(docs, items, share).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    return without(docs, leaks(docs, items, share).select("doc_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

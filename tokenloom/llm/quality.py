@@ -1,15 +1,19 @@
 """Operator 8: quality classifier on random-indexing word vectors.
 
 Every word has a sparse random index vector; a word's vector is the sum of the
-index vectors of the words around it, over all documents (random indexing). The
-shape of a word (case, digits and marks, runs folded) is a second word with a
-vector of its own, which also speaks for words that are rare. A document is the
+index vectors of the words around it, over all documents (random indexing). Words
+are hashed to one of ``WORDS`` (65,536) such vectors of ``DIM`` (16) dimensions,
+so what the driver holds doesn't grow with the corpus; words of one hash share a
+vector. The README has the held-out accuracy at growing sizes. Sums are of whole
+numbers, so they don't depend on the partitions. The
+shape of a word (case, digits and marks, runs folded; ``SHAPES`` of them) is a
+second word with a vector of its own, which also speaks for words that are rare. A document is the
 mean and spread of both kinds of vectors; a network with one hidden layer, in
 numpy, is fit on a bounded sample of labelled documents (``sample`` rows a
 class), and its temperature on a part that training did not see; all labels
 together give the share of the classes.
 
-Nulls: rows without a label or text are not trained on; a null text scores as an
+Ties: of several labels of one document the lowest counts. Nulls: rows without a label or text are not trained on; a null text scores as an
 empty one, and texts without words have quality 0. Very long texts are pooled
 whole. Repeated rows score alike. Without labels of two classes, all documents
 with words have quality 1. Empty tables give an empty result. Extra columns
@@ -27,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, DBL, INT, below, fresh, schema
+from .common import BIN, DBL, INT, LONG, below, fresh, materialize, schema, unused
 from .kernel import Chunk, _sums, chunks, mix, powers
 
-DIM, WORDS, SHAPES, SLICES = 16, 1 << 14, 1 << 12, 16
+DIM, WORDS, SHAPES = 16, 1 << 16, 1 << 12
+_SUMS = [f"v{d}" for d in range(DIM)]
 _CLASS = np.arange(256)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 57, 65, 97, 97
 _CLASS = _CLASS.astype(np.uint64) + np.uint64(1)
@@ -71,35 +76,26 @@ def around(v: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = [(np.zeros((n, DIM)), index_vectors(n, n)) for n in (WORDS, SHAPES)]
-    any_word = False
+    tables = [(np.zeros((n, DIM), np.int64), index_vectors(n, n)) for n in (WORDS, SHAPES)]
     for b in it:
         for c in chunks(b, spaces=True):
-            any_word |= len(c.h) > 0
             for (sums, index), t in zip(tables, terms(c), strict=True):
                 v = around(index[t], c.doc)
                 for d in range(DIM):
-                    sums[:, d] += np.bincount(t, v[:, d], len(sums))
-    if any_word:
-        both = np.concatenate([t[0] for t in tables]).astype(np.float32)
-        parts = np.array_split(both, SLICES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "part"])
-
-
-def _add(key, t):  # no annotations: Spark would read them
-    total = np.zeros(0)
-    for x in t.column("part"):
-        one = np.frombuffer(x.as_py(), np.float32).astype(np.float64)
-        total = total + one if len(total) else one
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+                    sums[:, d] += np.bincount(t, v[:, d], len(sums)).astype(np.int64)
+    both = np.concatenate([t[0] for t in tables])
+    on = np.flatnonzero(both.any(1))
+    if len(on):
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), *(pa.array(both[on, d]) for d in range(DIM))], ["term", *_SUMS])
 
 
 def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Context vectors of words and shapes, summed over all documents, centred and of length one."""
-    kind = schema(slice=INT, part=BIN)
-    some = docs.select(F.lit(0).alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = some.mapInArrow(_gather, kind).groupBy("slice").applyInArrow(_add, kind).collect()  # SLICES rows, 1.3 MB
-    x = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(rows)]).reshape(-1, DIM).copy() if rows else np.zeros((WORDS + SHAPES, DIM), np.float32)
+    some = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sums = some.mapInArrow(_gather, schema(term=INT, **{n: LONG for n in _SUMS})).groupBy("term").agg(*[F.sum(n).alias(n) for n in _SUMS])
+    x = np.zeros((WORDS + SHAPES, DIM))
+    t = sums.toArrow()  # at most WORDS + SHAPES rows, 9 MB
+    x[t.column(0).to_numpy()] = np.stack([c.to_numpy() for c in t.columns[1:]], 1)
     out = []
     for v in (x[:WORDS], x[WORDS:]):
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -187,15 +183,18 @@ def _featurise(vectors):
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Model | None:
     """sample: labelled documents of each class that are used, those of the least hashes of their ids."""
     vectors = word_vectors(docs)
-    y = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
-    all_, order = dict(y.groupBy("_y").count().collect()), F.xxhash64("_id")
+    y = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
+    all_, order = dict(y.groupBy("y").count().collect()), F.xxhash64("id")
     # a few times the sample leave the tasks, whatever their number
-    one = [y.where(F.col("_y") == k).where(below(order, 4 * sample / max(all_.get(k, 0), 1))).orderBy(order).limit(sample) for k in (0, 1)]
-    picked = F.broadcast(one[0].union(one[1]))  # at most 2 x sample rows
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(picked, "_id").select((F.col("_id") * 2 + F.col("_y")).alias("doc_id"), "text")
-    got = rows.mapInArrow(_featurise(vectors), schema(doc_id=T.LongType(), x=BIN)).orderBy(F.xxhash64("doc_id"), "x").limit(4 * sample).collect()
-    got = sorted(got, key=lambda r: (hash((r.doc_id >> 1) * 2654435761 % 4294967291), r.x))
-    x, label = np.array([np.frombuffer(r.x, np.float32) for r in got]), np.array([r.doc_id & 1 for r in got], float)
+    one = [y.where(F.col("y") == k).where(below(order, 4 * sample / max(all_.get(k, 0), 1))).orderBy(order, "id").limit(sample) for k in (0, 1)]
+    picked = materialize(one[0].union(one[1]), "labelled")  # at most 2 x sample rows
+    label_of = dict(picked.collect())
+    texts_ = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts_.join(F.broadcast(picked.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    # one row an id, that of the least features: as many rows as labels
+    got = rows.mapInArrow(_featurise(vectors), schema(doc_id=LONG, x=BIN)).groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    got.sort(key=lambda r: (r.doc_id % (1 << 64) * 2654435761 % 4294967291, r.doc_id))
+    x, label = np.array([np.frombuffer(r.x, np.float32) for r in got]), np.array([label_of[r.doc_id] for r in got], float)
     if not len(label) or min(label.sum(), (1 - label).sum()) < 2:
         return None
     model = fit(vectors, x, label)
@@ -203,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Model | Non
     return model
 
 
-def _score(model: Model | None):
+def _score(model: Model | None, name: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             text = b.column(b.schema.get_field_index("text"))
@@ -211,7 +210,7 @@ def _score(model: Model | None):
             p = [np.zeros(0)]
             for c in chunks(some, spaces=True):
                 p.append(np.where(np.diff(c.first) > 0, model.probability(features(c, model.vectors)) if model else 1.0, 0.0))
-            yield b.append_column("p_quality", pa.array(np.concatenate(p), pa.float64()))
+            yield b.append_column(name, pa.array(np.concatenate(p), pa.float64()))
 
     return run
 
@@ -219,13 +218,17 @@ def _score(model: Model | None):
 def score(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
     """``docs`` with the probability ``p_quality`` that a document is of good quality."""
     fresh(docs, "p_quality")
-    model = train(docs, labels, sample)
-    return docs.mapInArrow(_score(model), T.StructType([*docs.schema, *schema(p_quality=DBL)]))
+    return _scored(docs, train(docs, labels, sample), "p_quality")
+
+
+def _scored(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
+    return docs.mapInArrow(_score(model, name), T.StructType([*docs.schema, *schema(**{name: DBL})]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = 3000) -> DataFrame:
-    """``docs`` without those of a lower quality than ``least``."""
-    return score(docs, labels, sample).where(F.col("p_quality") >= least).drop("p_quality")
+    """``docs`` without those of a lower quality than ``least``; all columns stay, whatever their names."""
+    name = unused(docs, "p")
+    return _scored(docs, train(docs, labels, sample), name).where(F.col(name) >= least).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ number of bits that covers them, walked along its cycle until the value is in
 range, permutes the row numbers: shard and slot of any row can be computed from
 its number alone, and back.
 
+An id of which there are more rows than in a range (a null id too) is several
+ranges, by the hash of the other columns, so no id is one task's work.
+
 Nulls: a null doc_id orders before all others; null texts are kept. Empty texts
 are documents like any other. Ties: rows equal in every column are
 interchangeable, and each gets a number of its own. An empty table gives an
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, buckets, fresh, schema
+from .common import LONG, buckets, fresh, schema, unused
 
 ROUNDS = 4
-#: Ranges that are numbered apart, at most; the driver gets a count for each.
+#: Ids that begin a range, at most (as many shuffle partitions are beyond any use); the driver gets a count for each range.
 RANGES = 1 << 15
 _MUL = 1_103_515_245
 
@@ -96,22 +100,37 @@ def row_numbers(docs: DataFrame) -> tuple[DataFrame, int]:
     """Adds ``row_num``, 0-based and dense; and the number of rows.
 
     Ranges of doc_id (bounds from approximate quantiles, one number per
-    partition) are numbered apart and shifted by the counts before them.
+    partition) are numbered apart and shifted by the counts before them. An id
+    that is several quantiles is a range by itself, cut by the hash that orders it.
     """
     parts = min(buckets(docs.sparkSession), RANGES)
     key = F.col("doc_id").cast("long")
-    cuts = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts))).head()[0] or []
-    part = F.when(key.isNull(), -1).otherwise(_search(key, sorted(set(cuts))))
-    counts = dict(docs.groupBy(part.alias("p")).count().collect())  # one row for each of at most RANGES + 1 ranges
+    rest = [F.col(f"`{c}`").cast("string") for c in sorted(docs.columns) if c != "doc_id" and not dict(docs.dtypes)[c].startswith(("map", "variant"))]
+    found = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts)), F.count("*"), F.count(key)).head()
+    cuts = Counter(found[0] or [])
+    hot = {x: n for x, n in cuts.items() if n > 1}
+    bounds = sorted({*cuts, *(x + 1 for x in hot if x < (1 << 63) - 1)})
+    at = {x: i + 1 for i, x in enumerate(bounds)}
+    # the first number of each range, null ids being the first; a hot id has several
+    pieces = [1] * (len(bounds) + 2)
+    pieces[0] = max(1, math.ceil(parts * (found[1] - found[2]) / max(found[1], 1)))
+    for x, n in hot.items():
+        pieces[at[x] + 1] = n + 1
+    starts = [0, *np.cumsum(pieces).tolist()]
+    names = [unused(docs, n) for n in ("hash", "range")]
+    h, part = (F.col(n) for n in names)
+    of = F.when(key.isNull(), 0).otherwise(_search(key, bounds) + 1)
+    place = lambda x: F.element_at(_longs(x), (of + 1).cast("int"))
+    high = F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 32)  # the hash's order, as 32 bits
+    marked = docs.withColumn(names[0], F.xxhash64(*rest) if rest else F.lit(0).cast("long")).withColumn(names[1], place(starts) + F.shiftright(high * place(pieces), 32))
+    counts = dict(marked.groupBy(part).count().collect())  # at most 4 x RANGES rows
     before, total = [], 0
-    for p in range(-1, max(counts, default=-1) + 1):
+    for p in range(starts[-1]):
         before.append(total)
         total += counts.get(p, 0)
-    rest = [F.col(f"`{c}`").cast("string") for c in sorted(docs.columns) if c != "doc_id" and not dict(docs.dtypes)[c].startswith(("map", "variant"))]
-    w = Window.partitionBy("_part").orderBy(F.col("doc_id").cast("long"), F.xxhash64(*rest) if rest else F.lit(0))
-    shift = F.element_at(_longs(before), (F.col("_part") + 2).cast("int"))
-    out = docs.withColumn("_part", part).withColumn("row_num", F.row_number().over(w) - 1 + shift)
-    return out.drop("_part"), total
+    w = Window.partitionBy(part).orderBy(key, h)
+    out = marked.withColumn("row_num", F.row_number().over(w) - 1 + F.element_at(_longs(before), (part + 1).cast("int")))
+    return out.drop(*names), total
 
 
 def _place(n: int, per: int, seed: int):
@@ -136,7 +155,7 @@ def shard(docs: DataFrame, shards: int = 64, seed: int = 17) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars"))
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def sql(shards: int = 64, seed: int = 17) -> str:
@@ -155,5 +174,5 @@ walk AS (
   SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_num, row_number() OVER (ORDER BY doc_id) - 1 AS v, 0 AS step, w, ((1::BIGINT << w) - 1) AS mask, n FROM documents, size
   UNION ALL SELECT row_num, (l{ROUNDS} << w) | r{ROUNDS} AS v, 1 AS step, w, mask, n FROM {inner} t),
 done AS (SELECT row_num, v, n FROM walk WHERE step = 1 AND v < n),
-ids AS (SELECT doc_id, source, lang, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS row_num FROM documents)
-SELECT doc_id, source, lang, n_chars, ids.row_num, v // ((n + {shards - 1}) // {shards}) AS shard, v % ((n + {shards - 1}) // {shards}) AS slot FROM ids JOIN done USING (row_num)"""
+ids AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_num FROM documents)
+SELECT doc_id, text, lang, source, n_chars, ids.row_num, v // ((n + {shards - 1}) // {shards}) AS shard, v % ((n + {shards - 1}) // {shards}) AS slot FROM ids JOIN done USING (row_num)"""
