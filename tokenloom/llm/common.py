@@ -60,12 +60,6 @@ def below(h: Column, share: float) -> Column:
     return F.shiftrightunsigned(h, 11) < F.lit(int(min(1.0, share) * (1 << 53)))
 
 
-def fresh(df: DataFrame, *names: str) -> None:
-    """Refuse columns that the operator itself adds."""
-    if clash := [n for n in df.columns if n.lower() in {x.lower() for x in names}]:
-        raise ValueError(f"rename the columns {clash}: the operator adds columns of these names")
-
-
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, for work columns beside the caller's."""
     have = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ Ties: of several labels of one document the lowest counts. Nulls: rows without a
 empty one, and texts without words have quality 0. Very long texts are pooled
 whole. Repeated rows score alike. Without labels of two classes, all documents
 with words have quality 1. Empty tables give an empty result. Extra columns
-stay; ``p_quality`` must not be among them (ValueError).
+stay; if one is called ``p_quality``, the operator's is ``p_quality1`` (or the next free name).
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, DBL, INT, LONG, below, fresh, materialize, schema, unused
+from .common import BIN, DBL, INT, LONG, below, materialize, schema, unused
 from .kernel import Chunk, _sums, chunks, mix, powers
 
 DIM, WORDS, SHAPES = 16, 1 << 16, 1 << 12
@@ -217,8 +217,7 @@ def _score(model: Model | None, name: str):
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
     """``docs`` with the probability ``p_quality`` that a document is of good quality."""
-    fresh(docs, "p_quality")
-    return _scored(docs, train(docs, labels, sample), "p_quality")
+    return _scored(docs, train(docs, labels, sample), unused(docs, "p_quality"))
 
 
 def _scored(docs: DataFrame, model: Model | None, name: str) -> DataFrame:

@@ -12,8 +12,8 @@ ranges, by the hash of the other columns, so no id is one task's work.
 Nulls: a null doc_id orders before all others; null texts are kept. Empty texts
 are documents like any other. Ties: rows equal in every column are
 interchangeable, and each gets a number of its own. An empty table gives an
-empty result. Extra columns are kept; ``row_num``, ``shard`` and ``slot`` must
-not be among them (ValueError).
+empty result. Extra columns are kept; if one is called ``row_num``, ``shard``
+or ``slot``, the operator's column takes the first free name with a digit behind.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, buckets, fresh, schema, unused
+from .common import LONG, buckets, schema, unused
 
 ROUNDS = 4
 #: Ids that begin a range, at most (as many shuffle partitions are beyond any use); the driver gets a count for each range.
@@ -97,7 +97,7 @@ def _search(x: Column, bounds: list[int]) -> Column:
 
 
 def row_numbers(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Adds ``row_num``, 0-based and dense; and the number of rows.
+    """Adds ``row_num`` as the last column, 0-based and dense; and the number of rows.
 
     Ranges of doc_id (bounds from approximate quantiles, one number per
     partition) are numbered apart and shifted by the counts before them. An id
@@ -129,15 +129,15 @@ def row_numbers(docs: DataFrame) -> tuple[DataFrame, int]:
         before.append(total)
         total += counts.get(p, 0)
     w = Window.partitionBy(part).orderBy(key, h)
-    out = marked.withColumn("row_num", F.row_number().over(w) - 1 + F.element_at(_longs(before), (part + 1).cast("int")))
+    out = marked.withColumn(unused(docs, "row_num"), F.row_number().over(w) - 1 + F.element_at(_longs(before), (part + 1).cast("int")))
     return out.drop(*names), total
 
 
-def _place(n: int, per: int, seed: int):
+def _place(n: int, per: int, seed: int, names: list[str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            at = feistel(b.column(b.schema.get_field_index("row_num")).to_numpy(zero_copy_only=False), n, seed)
-            yield b.append_column("shard", pa.array(at // per, pa.int64())).append_column("slot", pa.array(at % per, pa.int64()))
+            at = feistel(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False), n, seed)
+            yield b.append_column(names[-2], pa.array(at // per, pa.int64())).append_column(names[-1], pa.array(at % per, pa.int64()))
 
     return run
 
@@ -147,11 +147,10 @@ def shard(docs: DataFrame, shards: int = 64, seed: int = 17) -> DataFrame:
 
     Each shard has ceil(n / shards) slots, so all but the last ones are full.
     """
-    fresh(docs, "row_num", "shard", "slot")
     numbered, n = row_numbers(docs)
     per = max(1, -(-n // shards))
-    out = T.StructType([*numbered.schema, *schema(shard=LONG, slot=LONG)])
-    return numbered.mapInArrow(_place(n, per, seed), out)
+    out = T.StructType([*numbered.schema, *schema(**{unused(docs, k): LONG for k in ("shard", "slot")})])
+    return numbered.mapInArrow(_place(n, per, seed, out.names), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
