@@ -4,14 +4,18 @@ Hashes of all rolling word 3-grams of the documents are joined with the places
 of the same 3-grams in license templates. A match votes for its diagonal, the
 difference of the two places: a verbatim template is one diagonal with many
 votes, an edit shifts to a neighbouring one. Votes are counted by (document,
-template, diagonal), diagonals at most ``SHIFT`` apart that overlap or follow
-closely are merged, and a span is verified if the template words that its
+template, diagonal), and each place of a document keeps its vote for the diagonal
+with most votes (then the least). In the order of the text these votes are merged
+to a span while the diagonal shifts by at most ``shift`` and the gap is at most
+``gap`` words, both in proportion to the template: a seventh of its words and a
+quarter, at least 3 and 12. A span is verified if the template words that its
 3-grams cover are at least ``LEAST`` of the template.
 
 Nulls: rows without an id or text take no part. Empty texts have no spans; very
 long ones are scanned whole. Rows of one doc_id count as one document: repeated
-rows give one set of spans. A template that occurs twice is two spans. Empty
-tables give an empty result. Extra columns are ignored.
+rows give one set of spans. A template that occurs twice is two spans. Ties:
+diagonals of equal votes go to the least. Empty tables give an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import INT, LONG, schema, texts
 from .kernel import Chunk, chunks, ngrams
 
-GRAM, SHIFT, NEAR, LEAST = 3, 3, 12, 0.6
+GRAM, LEAST = 3, 0.6
 
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -45,6 +49,17 @@ TEMPLATES = {
 }
 
 
+TEMPLATES |= {
+    "LGPL-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "BSD-disclaimer": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following""",
+    "CC0-notice": """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.""",
+    "WTFPL": """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.""",
+}
+
+
 def _chunk(text: str) -> Chunk:
     data = np.frombuffer(text.encode(), np.uint8)
     return Chunk(data, np.array([0, len(data)]), np.zeros(1))
@@ -72,14 +87,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     rows = template_grams(TEMPLATES if templates is None else templates)
     small = docs.sparkSession.createDataFrame(rows, "license string, words int, place int, h long")
     small = F.broadcast(small) if len(rows) <= 1_000_000 else small  # a larger library joins by shuffle
-    hits = texts(docs).mapInArrow(_grams, schema(doc_id=LONG, pos=INT, h=LONG)).join(small, "h")
-    diagonal = hits.distinct().groupBy("doc_id", "license", "words", (F.col("pos") - F.col("place")).alias("diagonal"))
-    lines = diagonal.agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("place").alias("places"))
-    w = Window.partitionBy("doc_id", "license").orderBy("diagonal", "low")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(w) > SHIFT) | (F.col("low") > F.lag("high").over(w) + NEAR) | (F.col("high") + NEAR < F.lag("low").over(w))
+    hits = texts(docs).mapInArrow(_grams, schema(doc_id=LONG, pos=INT, h=LONG)).join(small, "h").select("doc_id", "license", "words", "pos", "place", (F.col("pos") - F.col("place")).alias("diagonal")).distinct()
+    votes = hits.groupBy("doc_id", "license", "diagonal").agg(F.count("*").alias("votes"))
+    best = hits.join(votes, ["doc_id", "license", "diagonal"]).groupBy("doc_id", "license", "words", "pos").agg(F.max(F.struct("votes", -F.col("diagonal"))).alias("best"))
+    best = best.select("doc_id", "license", "words", "pos", (-F.col("best.col2")).alias("diagonal"))
+    w = Window.partitionBy("doc_id", "license").orderBy("pos")
+    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) > F.greatest(F.lit(3), F.floor(F.col("words") / 7))) | (F.col("pos") - F.lag("pos").over(w) > F.greatest(F.lit(12), F.floor(F.col("words") / 4)))
     isle = F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    spans = lines.withColumn("isle", isle).groupBy("doc_id", "license", "words", "isle")
-    found = spans.agg(F.min("low").alias("start_word"), (F.max("high") + GRAM).alias("end_word"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    spans = best.withColumn("isle", isle).groupBy("doc_id", "license", "words", "isle")
+    found = spans.agg(F.min("pos").alias("start_word"), (F.max("pos") + GRAM).alias("end_word"), F.collect_set(F.col("pos") - F.col("diagonal")).alias("places"))  # at most the template's
     cover = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + GRAM - 1)))))
     out = found.withColumn("coverage", F.round(cover / F.col("words"), 6)).where(F.col("coverage") >= LEAST)
     return out.select("doc_id", "license", "start_word", "end_word", F.size("places").alias("votes"), "coverage")
@@ -94,10 +110,11 @@ def sql() -> str:
     return f"""WITH t(license, words, place, s) AS (VALUES {values}),
 docs AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9A-Za-z_\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents WHERE text IS NOT NULL),
 grams AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
-hits AS (SELECT doc_id, license, words, place, pos FROM grams JOIN t USING (s)),
-lines AS (SELECT doc_id, license, words, pos - place AS diagonal, min(pos) AS low, max(pos) AS high, list(DISTINCT place) AS places FROM hits GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= {SHIFT} AND low <= lag(high) OVER w + {NEAR} AND high + {NEAR} >= lag(low) OVER w THEN 0 ELSE 1 END AS new FROM lines WINDOW w AS (PARTITION BY doc_id, license ORDER BY diagonal, low)),
-isles AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, license ORDER BY diagonal, low) AS isle FROM marked),
-spans AS (SELECT doc_id, license, words, isle, min(low) AS start_word, max(high) + {GRAM} AS end_word, list_distinct(flatten(list(places))) AS places FROM isles GROUP BY ALL)
+hits AS (SELECT DISTINCT doc_id, license, words, pos, pos - place AS diagonal FROM grams JOIN t USING (s)),
+counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, license, diagonal) AS n FROM hits),
+best AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY doc_id, license, pos ORDER BY n DESC, diagonal) = 1),
+marked AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER w) <= greatest(3, words // 7) AND pos - lag(pos) OVER w <= greatest(12, words // 4) THEN 0 ELSE 1 END AS new FROM best WINDOW w AS (PARTITION BY doc_id, license ORDER BY pos)),
+isles AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, license ORDER BY pos) AS isle FROM marked),
+spans AS (SELECT doc_id, license, words, isle, min(pos) AS start_word, max(pos) + {GRAM} AS end_word, list(DISTINCT pos - diagonal) AS places FROM isles GROUP BY ALL)
 SELECT doc_id, license, start_word::INT AS start_word, end_word::INT AS end_word, len(places)::INT AS votes, coverage FROM (
   SELECT *, round(len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + {GRAM}))))) / words, 6) AS coverage FROM spans) WHERE coverage >= {LEAST}"""
