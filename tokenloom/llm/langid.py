@@ -4,9 +4,12 @@ Two gated recurrent layers, one forward and one backward, read the bytes; a
 softmax on both states labels every byte, and the mean of these probabilities
 over a document is its probability of each language. Trained by truncated
 backpropagation through time in numpy with Adam, on a bounded sample of
-documents whose ``lang`` is known (``sample``; of each one stretch of bytes).
-Documents are read whole, in stretches of ``SPAN`` bytes whose states begin
-anew, so that stretches of all documents of a batch run side by side.
+documents whose ``lang`` is known (``sample``): each step takes stretches of
+``TRAIN_SPAN`` bytes from anywhere in the whole texts of some of them.
+Documents are read whole, in stretches of ``SPAN`` bytes that run side by side;
+each direction begins a stretch with a run-up of ``RUN`` bytes before it, whose
+labels don't count, instead of carrying its state through the whole text.
+``runs`` gives the label of every byte, as runs; ``identify`` the pooled result.
 
 Nulls: rows without a language are not trained on but are labelled; a null or
 empty text gets the language null and probability 0. Very long texts are read
@@ -24,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DBL, LONG, STR, below, schema
+from .common import DBL, LONG, STR, below, schema, texts
 from .kernel import chunks
 
-HIDDEN, SPAN, TRAIN_SPAN = 8, 192, 96
+HIDDEN, SPAN, RUN, TRAIN_SPAN = 8, 384, 24, 96
 PAD = 0
 
 
@@ -91,13 +94,17 @@ def backward(p: dict, x: np.ndarray, side: str, keep: list, dout: np.ndarray) ->
     return {f"x{side}": dx, f"u{side}": du, f"c{side}": das.sum((0, 1))}
 
 
-def fit(x: np.ndarray, y: np.ndarray, labels: int, steps: int = 350, batch: int = 96, seed: int = 7) -> dict[str, np.ndarray]:
-    """x: stretches (documents x bytes, padded by zeros); y: the language of each."""
+def fit(data: np.ndarray, bounds: np.ndarray, y: np.ndarray, labels: int, steps: int = 350, batch: int = 96, seed: int = 7) -> dict[str, np.ndarray]:
+    """data, bounds: the bytes of all texts and where each begins; y: the language of each."""
     p, r = init(labels), np.random.default_rng(seed)
+    data = np.concatenate([data, np.zeros(TRAIN_SPAN, np.uint8)])
     mom, vel = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for s in range(1, steps + 1):
-        pick = r.integers(0, len(x), batch)
-        b, t = x[pick].T.copy(), y[pick]
+        pick = r.integers(0, len(y), batch)
+        low, high, t = bounds[pick], bounds[pick + 1], y[pick]
+        low = low + (r.random(batch) * np.maximum(1, high - low - TRAIN_SPAN + 1)).astype(np.int64)
+        at = low + np.arange(TRAIN_SPAN)[:, None]
+        b = np.where(at < high, data[np.minimum(at, len(data) - 1)], PAD).astype(np.uint8)
         kf, kb = [], []
         h = np.concatenate([forward(p, b, "f", kf), forward(p, b, "b", kb)], 2)
         e = np.exp((o := h @ p["v"] + p["d"]) - o.max(2, keepdims=True))
@@ -117,58 +124,72 @@ def fit(x: np.ndarray, y: np.ndarray, labels: int, steps: int = 350, batch: int
     return p
 
 
-def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes as SPAN-long lanes (time x lanes, padded by zeros), and the text of each lane."""
+def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes as lanes of RUN + SPAN + RUN (time x lanes, padded by zeros beyond a text's ends), the text of each lane, and where its own bytes begin."""
     n = np.diff(bounds)
     each = -(-n // SPAN)
     doc = np.repeat(np.arange(len(n)), each)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
     start = bounds[doc] + k * SPAN
-    size = np.minimum(SPAN, bounds[doc + 1] - start)
-    at = start[None] + np.arange(SPAN)[:, None]
-    return np.where(np.arange(SPAN)[:, None] < size[None], data[np.minimum(at, max(len(data) - 1, 0))], PAD).astype(np.uint8), doc
+    at = start[None] + np.arange(-RUN, SPAN + RUN)[:, None]
+    there = (at >= bounds[doc]) & (at < bounds[doc + 1])
+    return np.where(there, data[np.clip(at, 0, max(len(data) - 1, 0))] if len(data) else 0, PAD).astype(np.uint8), doc, start
+
+
+def labelled(p: dict, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Step by step the probabilities (lanes x languages) of the lanes' own bytes: place in the stretch, and they."""
+    f, b = forward(p, x[: RUN + SPAN], "f"), forward(p, x[RUN:], "b")
+    vf, vb = p["v"][:HIDDEN], p["v"][HIDDEN:]
+    for t in range(SPAN):
+        o = f[RUN + t] @ vf + b[t] @ vb + p["d"]
+        e = np.exp(o - o.max(1, keepdims=True))
+        yield t, e / e.sum(1, keepdims=True)
 
 
 def pooled(p: dict, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text the mean probability of each language over its bytes, and how many bytes are labelled as each."""
     labels = p["v"].shape[1]
-    x, doc = stretches(data, bounds)
+    x, doc, start = stretches(data, bounds)
     prob, hard = np.zeros((len(bounds) - 1, labels)), np.zeros((len(bounds) - 1, labels))
     if not len(doc):
         return prob, hard
-    f, b = forward(p, x, "f"), forward(p, x, "b")
-    vf, vb = p["v"][:HIDDEN], p["v"][HIDDEN:]
-    sums, counts = np.zeros((x.shape[1], labels)), np.zeros((x.shape[1], labels))
-    for t in range(len(x)):
-        o = f[t] @ vf + b[t] @ vb + p["d"]
-        e = np.exp(o - o.max(1, keepdims=True))
-        there = (x[t] != PAD).astype(np.float32)[:, None]
-        sums += e * (there / e.sum(1, keepdims=True))
-        counts[np.arange(len(o)), o.argmax(1)] += there[:, 0]
+    size = np.minimum(SPAN, bounds[doc + 1] - start)
+    sums, counts = np.zeros((len(doc), labels)), np.zeros((len(doc), labels))
+    for t, e in labelled(p, x):
+        there = (t < size).astype(np.float32)
+        sums += e * there[:, None]
+        counts[np.arange(len(e)), e.argmax(1)] += there
     for i in range(labels):
         prob[:, i] = np.bincount(doc, sums[:, i], len(prob))
         hard[:, i] = np.bincount(doc, counts[:, i], len(prob))
     return prob / np.maximum((prob.sum(1, keepdims=True)), 1e-9), hard
 
 
+def labels_of(p: dict, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The language of every byte."""
+    x, doc, start = stretches(data, bounds)
+    out = np.zeros(len(data), np.int64)
+    for t, e in labelled(p, x) if len(doc) else ():
+        on = start + t < bounds[doc + 1]
+        out[(start + t)[on]] = e.argmax(1)[on]
+    return out
+
+
 def train(docs: DataFrame, sample: int = 2400) -> tuple[list[str], dict] | None:
-    """sample: documents trained on, those of the least hashes, of each a stretch in its middle."""
+    """sample: documents trained on, those of the least hashes, whole."""
     t = F.col("text").cast("string")
-    part = F.substring(t, F.greatest(F.lit(1), F.length(t) / 2 - TRAIN_SPAN / 2).cast("int"), F.lit(TRAIN_SPAN))
     h = F.xxhash64(F.col("doc_id").cast("long"), F.lit(5))
     known = docs.where("lang is not null").count()
     # a few times the sample leave the tasks, whatever their number
     few = docs.where("lang is not null").where(below(h, 4 * sample / max(known, 1))).where("length(text) > 0")
-    rows = few.select(F.col("lang").cast("string").alias("lang"), part.alias("part"), h.alias("h")).orderBy("h", "part").limit(sample).collect()
+    few = few.select(F.col("lang").cast("string").alias("lang"), h.alias("h"), F.xxhash64(t).alias("k"), t.alias("text"))
+    rows = few.orderBy("h", "k").limit(sample).collect()
     names = sorted({r.lang for r in rows})
     if not names:
         return None
-    x = np.zeros((len(rows), TRAIN_SPAN), np.uint8)
-    for i, r in enumerate(rows):
-        b = r.part.encode()[:TRAIN_SPAN]
-        x[i, : len(b)] = np.frombuffer(b, np.uint8)
+    raw = [r.text.encode() for r in rows]
     at = {n: i for i, n in enumerate(names)}
-    return names, fit(x, np.array([at[r.lang] for r in rows]), len(names))
+    return names, fit(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), np.array([at[r.lang] for r in rows]), len(names))
 
 
 def _label(names: list[str], p: dict):
@@ -192,6 +213,30 @@ def _label(names: list[str], p: dict):
     return run
 
 
+def _runs(names: list[str], p: dict):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for c in chunks(b, size=1 << 19):
+                y = labels_of(p, c.data, c.bounds)
+                new = np.zeros(len(y), bool)
+                new[1:] = y[1:] != y[:-1]
+                new[c.bounds[:-1][np.diff(c.bounds) > 0]] = True
+                start = np.flatnonzero(new)
+                doc = np.searchsorted(c.bounds, start, "right") - 1
+                end = np.append(start[1:], len(y))
+                yield pa.RecordBatch.from_arrays([pa.array(c.ids[doc], pa.int64()), pa.array(start - c.bounds[doc]), pa.array(end - c.bounds[doc]), pa.array(np.array(names, object)[y[start]], pa.string())], ["doc_id", "start", "end", "language"])
+
+    return run
+
+
+def runs(docs: DataFrame, sample: int = 2400) -> DataFrame:
+    """(doc_id, start, end, language) of the maximal runs of bytes with one label, of every row with an id and a text; none without a known language."""
+    model, out = train(docs, sample), schema(doc_id=LONG, start=LONG, end=LONG, language=STR)
+    if model is None:
+        return docs.sparkSession.createDataFrame([], out)
+    return texts(docs).mapInArrow(_runs(*model), out)
+
+
 def identify(docs: DataFrame, sample: int = 2400) -> DataFrame:
     """(doc_id, language, probability, bytes_labelled as that language, bytes) of every row with an id."""
     model = train(docs, sample)
