@@ -306,6 +306,54 @@ def test_languages_of_held_out_documents(spark):
     assert got.a > 0.9 and got.b
 
 
+def slow_labels(p, raw):
+    """Both gated layers byte by byte, one text at a time, with the same run-up."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    hid, out = langid.HIDDEN, []
+
+    def states(side, order):
+        h, got = np.zeros(hid), {}
+        for i in order:
+            a = p[f"x{side}"][raw[i]] + p[f"c{side}"] if 0 <= i < len(raw) else p[f"x{side}"][langid.PAD] + p[f"c{side}"]
+            b = h @ p[f"u{side}"]
+            r, z = sig(a[:hid] + b[:hid]), sig(a[hid : 2 * hid] + b[hid : 2 * hid])
+            n = np.tanh(a[2 * hid :] + r * b[2 * hid :])
+            got[i] = h = n + z * (h - n)
+        return got
+
+    for low in range(0, len(raw), langid.SPAN):
+        f = states("f", range(low - langid.RUN, low + langid.SPAN))
+        b = states("b", range(low + langid.SPAN + langid.RUN - 1, low - 1, -1))
+        for i in range(low, min(len(raw), low + langid.SPAN)):
+            o = np.concatenate([f[i], b[i]]) @ p["v"] + p["d"]
+            e = np.exp(o - o.max())
+            out.append(e / e.sum())
+    return np.array(out)
+
+
+def test_labels_are_those_of_a_plain_loop(spark, monkeypatch):
+    rows = [(1, "Das ist ein Haus."), (2, ""), (3, None), (4, "x"), (5, " ".join(words(160, 3))), (5, "Ünï — 中文"), (6, "The end of it. " * 40)]
+    d = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") < 5, "de").otherwise("en"))
+    names, p = langid.train(d)
+    monkeypatch.setattr(langid, "train", lambda *_: (names, p))
+    got = {(r.doc_id, r.bytes): (r.language, r.probability, r.bytes_labelled) for r in langid.identify(d).collect()}
+    per = {}
+    for r in langid.runs(d).collect():
+        per.setdefault(r.doc_id, []).append((r.start, r.end, r.language))
+    for k, t in rows:
+        raw = (t or "").encode()
+        if not raw:
+            assert got[k, 0] == (None, 0.0, 0)
+            continue
+        e = slow_labels(p, raw)
+        mean = e.sum(0) / e.sum()
+        best = int(mean.argmax())
+        assert got[k, len(raw)][0] == names[best] and abs(got[k, len(raw)][1] - mean[best]) < 1e-4 and abs(got[k, len(raw)][2] - (e.argmax(1) == best).sum()) <= 2
+        if k != 5:
+            flat = [x for a, b, x in sorted(per[k]) for _ in range(b - a)]
+            assert len(flat) == len(raw) and sum(x != names[i] for x, i in zip(flat, e.argmax(1))) <= 2
+
+
 # 5
 
 
@@ -412,6 +460,19 @@ def test_licenses_with_edits(spark):
     assert got == {(1, "MIT"), (2, "MIT"), (4, "MIT-notice")}
 
 
+def test_licenses_with_words_put_in_and_taken_out(spark):
+    mit = licenses.TEMPLATES["MIT"].split()
+    few = words(40, 7)
+    rows = [
+        (1, " ".join(mit[:80] + few[:4] + mit[80:])), (2, " ".join(mit[:80] + mit[85:])), (3, " ".join(mit[:50] + few[:1] + mit[50:100] + mit[102:])),
+        (4, " ".join(mit + mit)), (5, " ".join(mit[:60])), (6, " ".join(few + mit + few)), (6, " ".join(few + mit + few)), (7, None), (None, " ".join(mit)), (8, " ".join(few) + " " + " ".join(mit).upper()),
+    ]
+    got = sorted((r.doc_id, r.license, r.start_word, r.end_word - r.start_word, r.coverage > 0.95) for r in licenses.scan(docs(spark, rows)).collect())
+    n = len(words_of(" ".join(mit)))
+    want = [(1, 0, n + 4), (2, 0, n - 5), (3, 0, n - 1), (4, 0, n), (4, n, n), (6, 40, n), (8, 40, n)]
+    assert got == [(d, "MIT", at, size, True) for d, at, size in want]
+
+
 # 7
 
 
@@ -523,6 +584,42 @@ def test_private_spans(spark):
     assert all(r.doc_id < 100 for r in got)
 
 
+def test_more_kinds_and_long_secrets(spark):
+    secret = "Qw" * 45 + "7" + "zX" * 12 + "9021"
+    lines = ["My ssn: 123-45-6789.", "from 2001:db8:85a3::8a2e:370:7334 port", "IBAN: DE89370400440532013000 ok", f'password = "{secret}"', "card 4111 1111 1111 1111", "at 12:30:45 on 01-02-2003"]
+    rows = [(i, " ".join([*words(5, i), lines[i % 6], *words(5, 100 + i)])) for i in range(120)]
+    got = {(r.doc_id % 6, r.kind, dict(rows)[r.doc_id][r.start : r.end]) for r in pii.find(docs(spark, rows)).collect()}
+    assert got == {(0, "ssn", "123-45-6789"), (1, "ip", "2001:db8:85a3::8a2e:370:7334"), (2, "iban", "DE89370400440532013000"), (3, "secret", secret), (4, "card", "4111 1111 1111 1111")}
+
+
+def test_spans_are_those_of_a_plain_loop(spark):
+    """Votes counted, expectation and maximisation pattern by pattern, and the decision span by span."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    spans = {(r.doc_id, a, b, k): (v, f) for r in d.collect() for a, b, k, v, f in pii.propose(r.text)}
+    count = {}
+    for (_, _, _, k), (v, _) in spans.items():
+        count[k, v] = count.get((k, v), 0) + 1
+    p = {}
+    for kind in {k for k, _ in count}:
+        mine = {v: n for (k, v), n in count.items() if k == kind}
+        q = {v: min(0.95, max(0.05, 0.5 + 0.2 * sum(v))) for v in mine}
+        for _ in range(200):
+            w = [{v: (1 - q[v]) * n for v, n in mine.items()}, {v: q[v] * n for v, n in mine.items()}]
+            total = [sum(x.values()) for x in w]
+            prior = (total[1] + 1) / (sum(total) + 2)
+            rel = lambda y, j, vote: (sum(x for v, x in w[y].items() if v[j] == vote) + (3 if vote == 2 * y - 1 else 1)) / (total[y] + 5)  # noqa: B023, E731
+            for v in mine:
+                odds = np.log(prior / (1 - prior)) + sum(np.log(rel(1, j, x) / rel(0, j, x)) for j, x in enumerate(v))
+                q[v] = 1 / (1 + np.exp(-odds))
+        p |= {(kind, v): x for v, x in q.items()}
+    keys = sorted(spans)
+    x, y = np.array([spans[k][1] for k in keys]), np.array([p[k[3], spans[k][0]] for k in keys])
+    w = pii.fit(x, y, np.ones(len(keys)))  # the sample takes all: no pattern has more
+    want = {k for k, v in zip(keys, x @ w[:-1] + w[-1]) if v >= 0}
+    got = {(r.doc_id, r.start, r.end, r.kind) for r in pii.find(d, sample=10**6).collect()}
+    assert len(got ^ want) <= 0.01 * len(want) and len(want) > 20
+
+
 # 10
 
 

@@ -1,8 +1,9 @@
 """Operator 9: personal data and secrets by weak supervision.
 
 A wide pattern proposes spans (anything like an address, a dotted or grouped
-number, or a long quoted or mixed token). Five labelers, regular expressions,
-gazetteers and context rules, vote on each: yes, no or no opinion.
+number, or a long token with a digit, wherever that stands). Six labelers, regular
+expressions, gazetteers, checksums and context rules, vote on each: yes, no or no
+opinion; context is the 40 characters before a span and the 10 behind it.
 Expectation-maximisation (Dawid and Skene) over the counts of all vote patterns
 of the corpus estimates how reliable each labeler is, apart for each kind of
 span, and how likely each pattern is to be right. These probabilities train a
@@ -19,6 +20,7 @@ give an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -30,34 +32,58 @@ from pyspark.sql import types as T
 
 from .common import DBL, INT, LONG, STR, materialize, schema, texts
 
-KINDS = ("email", "secret", "ip", "phone", "card")
+KINDS = ("email", "secret", "iban", "ip", "ssn", "phone", "card")
 _PROPOSE = re.compile(
     r"""(?P<email>[^\s@"'<>(),;:]+@[^\s@"'<>(),;:]+)
-    |(?P<secret>(?<![A-Za-z0-9])(?=[A-Za-z_+/-]{0,60}[0-9])[A-Za-z0-9_+/-]{20,}(?![A-Za-z0-9]))
-    |(?P<ip>(?<![\d.])\d{1,4}(?:\.\d{1,4})+(?![\d.]*\d))
+    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
+    |(?P<secret>(?<![A-Za-z0-9])[A-Za-z0-9_+/-]{20,}(?![A-Za-z0-9]))
+    |(?P<ip>(?<![\d.])\d{1,4}(?:\.\d{1,4})+(?![\d.]*\d)|(?<![\w:.])(?=:{0,2}[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))
+    |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     |(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d[\d .-]{4,13}\d|\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|(?<!\d)\d{3}[.-]\d{3}[.-]\d{4}(?!\d))
     |(?P<card>(?<!\d)\d{4}(?:[ -]?\d{2,6}){2,4}(?!\d)|(?<![\d.])\d{1,12}(?![\d.]))""",
     re.X,
 )
 _STRICT = {
     "email": re.compile(r"[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
-    "secret": re.compile(r"[0-9a-fA-F]{32,}|(?:AKIA|ghp_|xox[bp]-|sk-)[\w-]{12,}"),
-    "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"),
+    "secret": re.compile(r"[0-9a-fA-F]{32,}|(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abpr]-|sk-|glpat-|npm_)[\w-]{12,}"),
+    "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f:]*::[0-9A-Fa-f:]*"),
+    "ssn": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
+    "iban": re.compile(r"[A-Z]{2}\d{2}[A-Z0-9 ]{11,36}"),
     "phone": re.compile(r"\+?\d{0,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"),
     "card": re.compile(r"\d{13,19}|(?:\d{4}[ -]){3}\d{1,7}"),
 }
-_TLDS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "eu", "co"}
-_DIAL = {"1", "33", "34", "44", "49", "39", "31", "41", "43", "46", "81", "86", "91"}
+#: Top-level domains of general use and of the larger countries.
+_TLDS = {*"com org net edu gov mil int info biz io ai app dev co me tv cloud tech online site xyz eu uk de fr es it nl be lu ch at pl cz sk hu ro bg gr pt ie dk se no fi is ee lv lt ru ua tr il sa ae ir in pk bd lk cn hk tw jp kr sg my th vn id ph au nz za ng ke eg ma dz us ca mx br ar cl pe ve uy".split()}
+#: Country codes of telephone numbers, and of bank accounts with their length.
+_DIAL = {*"1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 234 254 351 352 353 354 358 370 371 372 375 380 381 385 386 420 421 852 880 886 961 962 965 966 971 972 974".split()}
+_IBAN = {"DE": 22, "FR": 27, "ES": 24, "IT": 27, "GB": 22, "NL": 18, "BE": 16, "AT": 20, "CH": 21, "PT": 25, "IE": 22, "LU": 20, "PL": 28, "CZ": 24, "SK": 24, "HU": 28, "RO": 24, "BG": 22, "GR": 27, "DK": 18, "SE": 24, "NO": 15, "FI": 18, "EE": 20, "LV": 21, "LT": 20, "SI": 19, "HR": 21, "TR": 26, "SA": 24, "AE": 23, "IL": 23}
 _KEYS = re.compile(r"(?:token|secret|api[_-]?key|password|passwd|pwd|bearer|credential)s?\s*[=:]\s*[\"']?$", re.I)
 _CUES = {
     "email": re.compile(r"(?:e-?mail|contact|write|mailto)\W*$", re.I),
-    "ip": re.compile(r"(?:\bip|address|host|server)\W*$", re.I),
+    "ip": re.compile(r"(?:\bip|address|host|server|from)\W*$", re.I),
+    "ssn": re.compile(r"(?:\bssn|social security(?: number)?)\W*$", re.I),
+    "iban": re.compile(r"(?:\biban|account)\W*$", re.I),
     "phone": re.compile(r"(?:phone|tel|call|mobile|fax)\W*$", re.I),
-    "card": re.compile(r"(?:card|visa|account|iban|number)\W*$", re.I),
+    "card": re.compile(r"(?:card|visa|account|number)\W*$", re.I),
 }
-_AGAINST = re.compile(r"(?:version|license|licensed|nc|by|sa|section|chapter|page|v)\W*$", re.I)
-LABELERS = 5
-FEATURES = 24
+_AGAINST = re.compile(r"(?:version|release|licen[sc]ed?|section|chapter|figure|table|page|\bv)\W*$", re.I)
+LABELERS = 6
+
+
+def _luhn(digits: str) -> bool:
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def _mod97(span: str) -> bool:
+    s = span.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _address(span: str) -> bool:
+    try:
+        return bool(ipaddress.ip_address(span))
+    except ValueError:
+        return False
 
 
 def _bare(s: str, kind: str) -> str:
@@ -65,16 +91,23 @@ def _bare(s: str, kind: str) -> str:
 
 
 def votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
-    """1 yes, -1 no, 0 no opinion: strict form, gazetteer, context, length, plausibility."""
+    """1 yes, -1 no, 0 no opinion: strict form, gazetteer, context, length, plausibility, checksum."""
     digits = sum(c.isdigit() for c in span)
     strict = 1 if _STRICT[kind].fullmatch(span) else -1
+    check = 0
     if kind == "email":
         gazetteer = 1 if span.rpartition(".")[2].lower() in _TLDS else -1
         plausible = 1 if "." in span.partition("@")[2] else -1
     elif kind == "ip":
-        parts = [int(x) for x in span.split(".") if x]
-        gazetteer = -1 if len(parts) <= 2 else 0
-        plausible = 1 if len(parts) == 4 and all(x < 256 for x in parts) else -1
+        gazetteer = -1 if span.count(".") + span.count(":") < 2 else 0
+        plausible = 1 if _address(span) else -1
+    elif kind == "ssn":
+        gazetteer, plausible = 0, 1 if len({*span}) > 3 else -1
+    elif kind == "iban":
+        bare = span.replace(" ", "")
+        gazetteer = 1 if bare[:2] in _IBAN else -1
+        plausible = 1 if len(bare) == _IBAN.get(bare[:2], len(bare)) else -1
+        check = 1 if _mod97(span) else -1
     elif kind == "phone":
         code = re.match(r"\+(\d{1,3})", span)
         gazetteer = 0 if not code else 1 if code[1] in _DIAL or code[1][:2] in _DIAL or code[1][:1] in _DIAL else -1
@@ -82,28 +115,27 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
     elif kind == "card":
         gazetteer = 0 if digits < 13 else 1 if span[0] in "23456" else 0
         plausible = 1 if 13 <= digits <= 19 else -1
+        check = 0 if digits < 13 else 1 if _luhn("".join(c for c in span if c.isdigit())) else -1
     else:
         letters = sum(c.isalpha() for c in span)
         gazetteer = 1 if _KEYS.search(before) else 0
         plausible = 1 if digits >= 4 and letters >= 2 and len({*span.lower()}) >= 8 else -1
     cue = _CUES.get(kind)
     context = -1 if _AGAINST.search(before) else 1 if (kind == "secret" and _KEYS.search(before)) or (cue and cue.search(before)) else 0
-    least = {"email": 8, "secret": 28, "ip": 7, "phone": 10, "card": 13}[kind]
-    return strict, gazetteer, context, 1 if len(span) >= least else -1, plausible
+    least = {"email": 8, "secret": 28, "ip": 7, "phone": 10, "card": 13, "ssn": 11, "iban": 15}[kind]
+    return strict, gazetteer, context, 1 if len(span) >= least else -1, plausible, check
 
 
 def features(kind: str, span: str, before: str, after: str) -> list[float]:
     n = len(span)
     digits = sum(c.isdigit() for c in span)
     letters = sum(c.isalpha() for c in span)
-    word = re.search(r"([^\W\d]+)\W*$", before)
-    word = word[1].lower() if word else ""
     return [
         *(1.0 if kind == k else 0.0 for k in KINDS),
         min(n, 60) / 60, digits / n, letters / n, min(digits, 20) / 20, len({*span.lower()}) / n,
         min(span.count("."), 4) / 4, float("@" in span), min(span.count("-"), 3) / 3, float(span[0] == "+"), float("(" in span),
         *(1.0 if low <= n < high else 0.0 for low, high in ((0, 4), (4, 8), (8, 13), (13, 20), (20, 1 << 30))),
-        float(after[:1] in ('"', "'")), float(before[-1:] in ('"', "'")), float(word in ("version", "licensed", "license", "nc", "by", "v")), float(bool(_KEYS.search(before))),
+        float(votes(kind, span, before, after)[5] == 1), float(after[:1] in ('"', "'")), float(before[-1:] in ('"', "'")), float(bool(_AGAINST.search(before))), float(bool(_KEYS.search(before))),
     ]
 
 
@@ -111,7 +143,7 @@ def propose(text: str) -> Iterator[tuple[int, int, str, tuple[int, ...], list[fl
     for m in _PROPOSE.finditer(text):
         kind = m.lastgroup
         span = _bare(m[0], kind)
-        if not span or (kind == "email" and not span.partition("@")[2]):
+        if not span or (kind == "email" and not span.partition("@")[2]) or (kind == "secret" and not any(c.isdigit() for c in span)):
             continue
         before, after = text[max(0, m.start() - 40) : m.start()], text[m.start() + len(span) : m.start() + len(span) + 10]
         yield m.start(), m.start() + len(span), kind, votes(kind, span, before, after), features(kind, span, before, after)
@@ -173,7 +205,7 @@ def find(docs: DataFrame, sample: int = 50, least: float = 0.5) -> DataFrame:
     kind = schema(doc_id=LONG, start=INT, end=INT, kind=STR, votes=STR, features=T.ArrayType(DBL))
     rows = texts(docs).where(F.col("text").rlike("[0-9@]"))  # every proposal has one
     spans = materialize(rows.mapInArrow(_spans, kind).distinct(), "spans")
-    counts = spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()  # at most 5 x 3**5 rows
+    counts = spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()  # at most 7 x 3**6 rows
     out = schema(doc_id=LONG, start=INT, end=INT, kind=STR, probability=DBL)
     if not counts:
         return spark.createDataFrame([], out)
