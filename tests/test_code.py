@@ -147,7 +147,7 @@ def test_reports_and_import(spark, tmp_path):
     s = json.loads(sinks.sarif(f))
     assert s["runs"][0]["results"][0]["ruleIndex"] == 0
     assert 'failures="1"' in sinks.junit(f) and sinks.scrubbed(f).head().value == "t.c:14: a jump"
-    back = readers.import_findings(t, f.select("type", "message", "file", "line", "cobra"))
+    back = readers.import_findings(t, f.select("type", "message", "file", "line", "place"))
     assert [(m.from_seq, m.upto_seq) for m in back.df.collect()] == found(spark, "goto @ident")
     sinks.write_text(sinks.token_listing(t), str(tmp_path / "x"))
     with pytest.raises(Exception, match="(?i)exist"):

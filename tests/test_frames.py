@@ -117,8 +117,8 @@ def test_inside_registers_and_expressions(tokens):
 
 
 def test_lowered_patterns_are_the_automatons(tokens):
-    for p in ("a b", "[a b] ^c", "a", "@ident", "/^[ab]$ ^if c", ". a"):
-        key = lambda m: sorted((r.fid, r.from_seq, r.upto_seq) for r in m.df.collect())
+    for p in ("a b", "[a b] ^c", "a", "@ident", "/^[ab]$ ^if c", ". a", "x:@ident :x", "x:@ident ^:x :x", "x:@ident y:/^[ab]$ [:x if]", "x:@ident ^[:x b]", "/^[a-z]+$ b /^[a-z]+$"):
+        key = lambda m: sorted((r.fid, r.from_seq, r.upto_seq, tuple((b["name"], b["text"], b["def_seq"], b["ref_seq"], tuple(b["all_refs"])) for b in r.bindings or [])) for r in m.df.collect())
         assert key(pattern.search(tokens, p, native=False)) == key(pattern.search(tokens, p)), p
 
 

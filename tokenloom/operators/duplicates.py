@@ -15,27 +15,51 @@ def abstracted(tokens: DataFrame, *kinds: str) -> DataFrame:
 
 
 def windows(tokens: DataFrame, n: int) -> DataFrame:
-    """(fid, seq, key) of each run of n tokens; key is a 128-bit hash of their texts."""
-    text = F.array_join(F.collect_list("txt").over(in_order().rowsBetween(0, n - 1)), "\x01")
-    out = tokens.withColumn("_k", F.count("*").over(in_order().rowsBetween(0, n - 1))).withColumn("key", F.md5(text))
-    return out.where(F.col("_k") == n).select("fid", "seq", "lnr", "key")
+    """(fid, seq, lnr, key, key2) of each run of n tokens; the keys are 128 bits of hash of its texts.
+
+    Hashes of runs of 1, 2, 4 .. tokens are made by doubling, each of two of half its length, over one window; the run of n
+    is put together from those of the powers of two in n. So no text is collected, and a token costs a logarithm of n.
+    """
+    w = in_order()
+    out = tokens.select("fid", "seq", "lnr", F.xxhash64("txt").alias("key"), F.xxhash64("txt", F.lit(1)).alias("key2"))
+    for name in ("key", "key2"):
+        out = out.withColumn(f"_all_{name}", F.lit(None).cast("long"))
+    at, size = 0, 1
+    while True:
+        if n & size:
+            for name in ("key", "key2"):
+                here = F.lead(name, at).over(w)
+                out = out.withColumn(f"_all_{name}", here if at == 0 else F.when(here.isNotNull(), F.xxhash64(f"_all_{name}", here)))
+            at += size
+        if 2 * size > n:
+            break
+        for name in ("key", "key2"):
+            other = F.lead(name, size).over(w)
+            out = out.withColumn(name, F.when(other.isNotNull(), F.xxhash64(name, other)))
+        size *= 2
+    return out.where("_all_key is not null").select("fid", "seq", "lnr", F.col("_all_key").alias("key"), F.col("_all_key2").alias("key2"))
 
 
 def repeated(tokens: DataFrame, n: int) -> DataFrame:
-    """Windows whose text stands at two or more places."""
-    return windows(tokens, n).withColumn("copies", F.count("*").over(Window.partitionBy("key"))).where("copies > 1")
+    """Windows whose text stands at two or more places: counted before they are shuffled, so a frequent one isn't one task's work."""
+    every = windows(tokens, n)
+    many = every.groupBy("key", "key2").agg(F.count("*").alias("copies")).where("copies > 1")
+    return every.join(many, ["key", "key2"])
 
 
 def fragments(tokens: DataFrame, n: int = 100) -> DataFrame:
     """(a_fid, a_from, a_upto, b_fid, b_from, b_upto, n_tokens): longest common runs of at least n tokens of two places.
 
-    Each place is held against the next place of the same window, so copies of one fragment form a chain and the pairs
-    stay linear in them; runs along a diagonal (equal distance) are one fragment. Overlapping places of one file are left out.
+    Each place is held against the next place of the same window that doesn't overlap it: in its own file, else the first
+    one in the next file. So copies of one fragment form a chain and the pairs stay linear in them; runs along a diagonal
+    (equal distance) are one fragment.
     """
-    w = Window.partitionBy("key").orderBy("fid", "seq")
     d = repeated(tokens, n)
-    pairs = d.withColumn("b_fid", F.lead("fid").over(w)).withColumn("b_seq", F.lead("seq").over(w)).where("b_fid is not null")
-    pairs = pairs.where((F.col("fid") != F.col("b_fid")) | (F.col("b_seq") - F.col("seq") >= n)).withColumn("diagonal", F.col("b_seq") - F.col("seq"))
+    here = F.min("seq").over(Window.partitionBy("key", "key2", "fid").orderBy("seq").rangeBetween(n, Window.unboundedFollowing))
+    there = F.min(F.struct("fid", "seq")).over(Window.partitionBy("key", "key2").orderBy("fid").rangeBetween(1, Window.unboundedFollowing))
+    pairs = d.withColumn("_here", here).withColumn("_there", there)
+    pairs = pairs.withColumn("b_fid", F.when(F.col("_here").isNotNull(), F.col("fid")).otherwise(F.col("_there.fid"))).withColumn("b_seq", F.coalesce("_here", "_there.seq"))
+    pairs = pairs.where("b_fid is not null").withColumn("diagonal", F.col("b_seq") - F.col("seq"))
     line = Window.partitionBy("fid", "b_fid", "diagonal").orderBy("seq")
     isle = pairs.withColumn("_i", F.col("seq") - F.row_number().over(line)).groupBy("fid", "b_fid", "diagonal", "_i")
     out = isle.agg(F.min("seq").alias("a_from"), F.max("seq").alias("_last"))
@@ -65,5 +89,6 @@ def patches(fragments_: DataFrame, gap: int = 25) -> DataFrame:
 
 
 def multiclones(tokens: DataFrame, n: int = 100, least: int = 3) -> DataFrame:
-    """(key, copies, files) of windows that stand at ``least`` or more places."""
-    return windows(tokens, n).groupBy("key").agg(F.count("*").alias("copies"), F.countDistinct("fid").alias("files")).where(F.col("copies") >= least)
+    """(copies, files, first_fid, first_seq) of each window that stands at ``least`` or more places, with the first of them."""
+    out = windows(tokens, n).groupBy("key", "key2").agg(F.count("*").alias("copies"), F.countDistinct("fid").alias("files"), F.min(F.struct("fid", "seq")).alias("at"))
+    return out.where(F.col("copies") >= least).select("copies", "files", F.col("at.fid").alias("first_fid"), F.col("at.seq").alias("first_seq"))

@@ -12,8 +12,9 @@ The shortest match from each start token is kept; matches from different starts
 may overlap. Brackets matched explicitly pair with explicit ones, implicit ones
 (by '.' or a negation) with implicit ones. A match stays in its file.
 
-A pattern of fixed length without bindings, brackets' depths or constraints is
-lowered to ``lead`` expressions; others run in an automaton over each file.
+Patterns of fixed length without brackets' depths or constraints are lowered to
+``lead`` expressions over one window, bound names to comparisons of texts; others
+run in an automaton over each file.
 """
 
 from __future__ import annotations
@@ -187,31 +188,41 @@ def parse(text: str, regular: bool = False) -> Pattern:
 
 
 def fixed(p: Pattern) -> list[Atom] | None:
-    """The pattern's atoms if it is a plain row of them that needs no state; bracket pairs need it."""
+    """The pattern's atoms if it is a plain row of them that needs no state; bracket pairs and names bound twice need it."""
     items = p.tree.items if p.tree.op == "cat" else [p.tree]
     if p.constraints or any(i.op != "atom" for i in items):
         return None
     atoms = [i.atom for i in items]
-    brackets = {*OPENERS, *CLOSERS}
-    for a in atoms:
-        if a.kind in ("bind", "ref") or a.depth is not None:
-            return None
-        if a.kind == "set" and any(e.kind == "ref" for e in a.value):
-            return None
-    closes = [a for a in atoms if a.kind == "any" or a.negated or (a.kind in ("text",) and a.value in CLOSERS) or a.kind in ("regex", "set")]
-    opens = [a for a in atoms if a.kind == "any" or a.negated or (a.kind == "text" and a.value in brackets & {*OPENERS}) or a.kind in ("regex", "set")]
-    return None if len(atoms) > 1 and closes and opens and not _harmless(atoms) else atoms
+    names = [a.name for a in atoms if a.kind == "bind"]
+    if any(a.depth is not None for a in atoms) or len({*names}) < len(names):
+        return None
+    return atoms if _harmless(atoms) else None
+
+
+def _may(a: Atom, brackets: dict[str, str], bound: dict[str, Atom]) -> bool:
+    """Whether the atom can match one of these brackets."""
+    if a.kind == "any" or a.negated:
+        return True
+    if a.kind == "text":
+        return a.value in brackets
+    if a.kind == "type":
+        return False
+    if a.kind == "regex":
+        return any(_search(a.value)(x) for x in brackets)
+    if a.kind == "set":
+        return any(_may(e, brackets, bound) for e in a.value)
+    if a.kind == "bind":
+        return _may(a.value, brackets, bound)
+    return a.value in bound and _may(bound[a.value], brackets, bound)
 
 
 def _harmless(atoms: list[Atom]) -> bool:
     """No opener may come before a closer inside the row."""
-    seen = False
+    seen, bound = False, {a.name: a.value for a in atoms if a.kind == "bind"}
     for a in atoms:
-        may_open = a.kind == "any" or a.negated or (a.kind == "text" and a.value in OPENERS) or (a.kind == "set" and any(e.kind != "text" or e.value in OPENERS for e in a.value)) or (a.kind == "regex")
-        may_close = a.kind == "any" or a.negated or (a.kind == "text" and a.value in CLOSERS) or (a.kind == "set" and any(e.kind != "text" or e.value in CLOSERS for e in a.value)) or (a.kind == "regex")
-        if seen and may_close:
+        if seen and _may(a, CLOSERS, bound):
             return False
-        seen |= may_open
+        seen |= _may(a, OPENERS, bound)
     return True
 
 
@@ -234,15 +245,42 @@ def condition(a: Atom) -> Column:
     return ~c if a.negated else c
 
 
-def lowered(tokens: DataFrame, atoms: list[Atom]) -> DataFrame:
+def _refers(a: Atom, at: int, bound: dict[str, int], w) -> Column:
+    """The condition on the token ``at`` places ahead, where an atom refers to what names before it are bound to."""
+    if a.kind == "ref":
+        k = bound.get(a.value)
+        same = F.lit(False) if k is None or k >= at else F.lead("txt", at).over(w) == F.lead("txt", k).over(w)
+        return ~same if a.negated else same
+    if a.kind == "set" and any(e.kind == "ref" for e in a.value):
+        plain = tuple(e for e in a.value if e.kind != "ref")
+        c = F.lead(condition(Atom("set", plain)), at).over(w)
+        for e in a.value:
+            if e.kind == "ref":
+                c = c | _refers(e, at, bound, w)
+        return ~c if a.negated else c
+    return F.lead(condition(a.value if a.kind == "bind" else a), at).over(w)
+
+
+def lowered(tokens: DataFrame, patterns: list[tuple[str, str | None, list[Atom]]]) -> DataFrame:
+    """All matches of rows of atoms (set, caption, atoms), in one pass: a ``lead`` for each atom over one window."""
     w = Window.partitionBy("fid").orderBy("seq")
-    last = len(atoms) - 1
-    hit = condition(atoms[0])
-    for k, a in enumerate(atoms[1:], 1):
-        hit = hit & F.coalesce(F.lead(condition(a), k).over(w), F.lit(False))
-    upto = F.lead("lnr", last).over(w) if last else F.col("lnr")
-    out = tokens.withColumn("_hit", hit).withColumn("_upto", upto).where("_hit")
-    return out.select("fid", F.col("seq").alias("from_seq"), (F.col("seq") + last).alias("upto_seq"), F.col("lnr").alias("from_lnr"), F.col("_upto").alias("upto_lnr"))
+    ahead = lambda k: F.col("seq") + k
+    found = []
+    for name, msg, atoms in patterns:
+        bound = {a.name: k for k, a in enumerate(atoms) if a.kind == "bind"}
+        hit = F.lit(True)
+        for k, a in enumerate(atoms):
+            hit = hit & F.coalesce(_refers(a, k, bound, w), F.lit(False))
+        last = len(atoms) - 1
+        binds = []
+        for n, k in sorted(bound.items(), key=lambda x: x[1]):
+            refs = [ahead(j) for j, a in enumerate(atoms) if a.kind == "ref" and not a.negated and a.value == n and j > k]
+            binds.append(F.struct(F.lit(n).alias("name"), F.lead("txt", k).over(w).alias("text"), ahead(k).alias("def_seq"), (refs[0] if refs else F.lit(None).cast("long")).alias("ref_seq"), F.array(*refs).cast("array<bigint>").alias("all_refs")))
+        kind = MATCHES["bindings"].dataType.simpleString()
+        bindings = F.array(*binds).cast(kind) if binds else F.lit(None).cast(kind)
+        found.append(F.when(hit, F.struct(F.lit(name).alias("set"), ahead(last).alias("upto_seq"), F.lead("lnr", last).over(w).alias("upto_lnr"), F.lit(msg).cast("string").alias("msg"), bindings.alias("bindings"))))
+    out = tokens.select("fid", "seq", "lnr", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("_hits")).where(F.size("_hits") > 0)
+    return out.select("fid", F.col("seq").alias("from_seq"), F.col("lnr").alias("from_lnr"), F.explode("_hits").alias("_h")).select("fid", "from_seq", "from_lnr", "_h.*")
 
 
 # automaton
@@ -385,13 +423,20 @@ class Machine:
                         new.add((t, b, r, st))
             if not new:
                 return None
-            threads = new if len(new) < 512 else self._thin(new)
+            threads = self._thin(new)
         return None
 
     @staticmethod
     def _thin(threads: set) -> set:
-        """Threads of one state and stack whose bindings are the same texts are one."""
-        return {*{(s, st, b): (s, b, r, st) for s, b, r, st in threads}.values()}
+        """Of threads alike in state, bindings and brackets the one with most references goes on, then the one whose references come first."""
+        if len(threads) < 2:
+            return threads
+        best: dict = {}
+        for s, b, r, st in threads:
+            k = (s, b, st)
+            if k not in best or (-len(r), r) < (-len(best[k]), best[k]):
+                best[k] = r
+        return {(s, b, r, st) for (s, b, st), r in best.items()}
 
     def _step(self, a: Atom, txt, typ, tok, q, binds, refs, texts):
         if a.kind == "ref":
@@ -467,16 +512,17 @@ def search_all(tokens: DataFrame, patterns: list[tuple[str, str, str | None]], t
     """All matches of a pack of (name, pattern, caption): those that need the automaton in one pass over each file."""
     if not comments:
         tokens = tokens.where("typ is null or typ <> 'cmnt'")
-    out, rest = None, []
+    out, rest, rows = None, [], []
     for name, p, msg in patterns:
         atoms = fixed(parse(p, regular)) if native is not False and not top else None
         if atoms is None:
             if native:
                 raise ValueError(f"not a fixed row of tokens: {p}")
             rest.append((name, p, msg))
-            continue
-        df = MatchFrame(lowered(tokens, atoms).withColumn("set", F.lit(name)).withColumn("msg", F.lit(msg).cast("string")))
-        out = df if out is None else out.union(df)
+        else:
+            rows.append((name, msg, atoms))
+    if rows:
+        out = MatchFrame(lowered(tokens, rows))
     if rest:
         df = MatchFrame(tokens.select(*_NEEDED).groupBy("fid").applyInPandas(_kernel(rest, top, regular), MATCHES))
         out = df if out is None else out.union(df)

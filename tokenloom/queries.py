@@ -367,10 +367,10 @@ def _(spark, sf):
     return d.groupBy((F.col("to") - F.col("lnr")).alias("lnr")).agg(F.count("*").alias("n"))
 
 
-@query("prog_strings", "SELECT doc_id, octet_length(encode(text))::INT AS bytes, substr(text, 4, 5) AS part, instr(text, 'an')::INT AS first, (CASE WHEN instr(reverse(text), 'na') = 0 THEN 0 ELSE length(text) - instr(reverse(text), 'na') END)::INT AS last, replace(left(text, 40), 'e', '3') AS swapped FROM documents")
+@query("prog_strings", "SELECT doc_id, octet_length(encode(text))::INT AS bytes, substr(text, 4, 5) AS part, instr(text, 'an')::INT AS first, (CASE WHEN instr(reverse(text), 'na') = 0 THEN 0 ELSE length(text) - instr(reverse(text), 'na') END)::INT AS last, replace(text, 'e', '3') AS swapped FROM documents")
 def _(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    return d.select("doc_id", scalar.strlen(F.col("text")).alias("bytes"), scalar.substr(F.col("text"), 3, 5).alias("part"), scalar.strstr(F.col("text"), "an").alias("first"), scalar.strrstr(F.col("text"), "an").cast("int").alias("last"), scalar.gsub("e", "3", F.substring("text", 1, 40)).alias("swapped"))
+    return d.select("doc_id", scalar.strlen(F.col("text")).alias("bytes"), scalar.substr(F.col("text"), 3, 5).alias("part"), scalar.strstr(F.col("text"), "an").alias("first"), scalar.strrstr(F.col("text"), "an").cast("int").alias("last"), scalar.gsub("e", "3", F.col("text")).alias("swapped"))
 
 
 @query("prog_numbers", "SELECT l_orderkey, l_linenumber, (CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_orderkey // (l_linenumber % 3) END)::BIGINT AS quotient, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_orderkey % (l_linenumber % 3) END AS rest FROM lineitem")
@@ -452,17 +452,23 @@ def _(spark, sf):
 # duplicates
 
 
-@query("dup_windows", f"WITH {_tok('benchmark')}, w AS (SELECT fid, seq, string_agg(txt, chr(1)) OVER x AS s, count(*) OVER x AS k FROM tok WINDOW x AS (PARTITION BY fid ORDER BY seq ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)), r AS (SELECT *, count(*) OVER (PARTITION BY s) AS copies FROM w WHERE k = 10) SELECT fid, seq, copies FROM r WHERE copies > 1")
+def _runs(n: int) -> str:
+    return f"w AS (SELECT fid, seq, string_agg(txt, chr(1)) OVER x AS s, count(*) OVER x AS k FROM tok WINDOW x AS (PARTITION BY fid ORDER BY seq ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING))"
+
+
+@query("dup_windows", f"WITH {_tok()}, {_runs(10)} SELECT fid, seq, copies FROM (SELECT *, count(*) OVER (PARTITION BY md5(s)) AS copies FROM w WHERE k = 10) WHERE copies > 1")
 def _(spark, sf):
-    return duplicates.repeated(toks(spark, sf, "benchmark"), 10).select("fid", "seq", "copies")
+    return duplicates.repeated(toks(spark, sf), 10).select("fid", "seq", "copies")
 
 
-@query("multiclones", f"WITH {_tok()}, w AS (SELECT fid, seq, string_agg(txt, chr(1)) OVER x AS s, count(*) OVER x AS k FROM tok WINDOW x AS (PARTITION BY fid ORDER BY seq ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) SELECT md5(s) AS key, count(*) AS copies, count(DISTINCT fid) AS files FROM w WHERE k = 20 GROUP BY s HAVING count(*) >= 3")
+@query("multiclones", f"WITH {_tok()}, {_runs(20)} SELECT count(*) AS copies, count(DISTINCT fid) AS files, min(fid) AS first_fid, arg_min(seq, fid * 1000000000 + seq) AS first_seq FROM w WHERE k = 20 GROUP BY md5(s) HAVING count(*) >= 3")
 def _(spark, sf):
     return duplicates.multiclones(toks(spark, sf), 20, 3)
 
 
-_PAIRS = "w AS (SELECT fid, seq, string_agg(txt, chr(1)) OVER x AS s, count(*) OVER x AS k FROM tok WINDOW x AS (PARTITION BY fid ORDER BY seq ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING)), q AS (SELECT fid, seq, lead(fid) OVER y AS bf, lead(seq) OVER y AS bs FROM w WHERE k = 100 WINDOW y AS (PARTITION BY md5(s) ORDER BY fid, seq)), pr AS (SELECT *, bs - seq AS dg, seq - row_number() OVER (PARTITION BY fid, bf, bs - seq ORDER BY seq) AS i FROM q WHERE bf IS NOT NULL AND (bf <> fid OR bs - seq >= 100)), fr AS (SELECT fid AS a_fid, min(seq) AS a_from, max(seq) + 99 AS a_upto, bf AS b_fid, min(seq) + dg AS b_from, max(seq) + 99 + dg AS b_upto, max(seq) + 100 - min(seq) AS n_tokens FROM pr GROUP BY fid, bf, dg, i)"
+_PAIRS = f"""{_runs(100)}, h AS (SELECT md5(s) AS m, fid, seq FROM w WHERE k = 100),
+q AS (SELECT fid, seq, CASE WHEN x IS NOT NULL THEN fid ELSE y.f END AS bf, coalesce(x, y.s) AS bs FROM (SELECT *, min(seq) OVER (PARTITION BY m, fid ORDER BY seq RANGE BETWEEN 100 FOLLOWING AND UNBOUNDED FOLLOWING) AS x, min({{'f': fid, 's': seq}}) OVER (PARTITION BY m ORDER BY fid RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS y FROM h)),
+pr AS (SELECT *, bs - seq AS dg, seq - row_number() OVER (PARTITION BY fid, bf, bs - seq ORDER BY seq) AS i FROM q WHERE bf IS NOT NULL), fr AS (SELECT fid AS a_fid, min(seq) AS a_from, max(seq) + 99 AS a_upto, bf AS b_fid, min(seq) + dg AS b_from, max(seq) + 99 + dg AS b_upto, max(seq) + 100 - min(seq) AS n_tokens FROM pr GROUP BY fid, bf, dg, i)"""
 
 
 @query("dup_fragments", f"WITH {_tok()}, {_PAIRS} SELECT * FROM fr")
@@ -531,7 +537,7 @@ def _(spark, sf):
     return taint.tainted(lexer.code_tokens(files(spark, sf, "pages"), "java", eof=False), ("getElementById", "querySelector", "getenv"))
 
 
-@query("findings_json", f"WITH {_tok()}, {_A}, x AS (SELECT a.fid, a.f - (SELECT min(t.seq) FROM tok t WHERE t.fid = a.fid AND t.lnr = k.lnr) AS place, k.lnr FROM a JOIN tok k ON k.fid = a.fid AND k.seq = a.f) SELECT '{{\"type\":\"A\",\"message\":\"A\",\"file\":\"doc_id=' || fid || '\",\"line\":\"' || lnr || '\",\"cobra\":\"no_cpp ' || place || ' 2\"}}' AS json FROM x")
+@query("findings_json", f"WITH {_tok()}, {_A}, x AS (SELECT a.fid, a.f - (SELECT min(t.seq) FROM tok t WHERE t.fid = a.fid AND t.lnr = k.lnr) AS place, k.lnr FROM a JOIN tok k ON k.fid = a.fid AND k.seq = a.f) SELECT '{{\"type\":\"A\",\"message\":\"A\",\"file\":\"doc_id=' || fid || '\",\"line\":\"' || lnr || '\",\"place\":\"no_cpp ' || place || ' 2\"}}' AS json FROM x")
 def _(spark, sf):
     t = lexer.with_defaults(toks(spark, sf))
     return sinks.to_json(sinks.findings(pattern.search(t, "of /^[a-z]+$", "A"), t))

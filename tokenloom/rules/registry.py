@@ -47,7 +47,7 @@ def run(tokens: DataFrame, *names: str) -> MatchFrame:
     if not chosen:
         raise ValueError(f"no such rule or pack: {names}")
     texts = [(r.name, r.body, r.caption) for r in chosen if isinstance(r.body, str)]
-    out = pattern.search_all(tokens, texts, native=False) if texts else None
+    out = pattern.search_all(tokens, texts) if texts else None
     for r in chosen:
         if not isinstance(r.body, str):
             m = r.body(tokens).named(r.name, r.caption)

@@ -82,12 +82,12 @@ def browse(lines: DataFrame, fnm: str, first: int, last: int) -> DataFrame:
 
 
 def import_findings(tokens: DataFrame, findings: DataFrame, name: str = "json") -> MatchFrame:
-    """Findings (type, message, file, line, optional cobra = "mode place length") as matches.
+    """Findings (type, message, file, line, optional place = "mode start length") as matches.
 
-    With a place, the match is that many tokens from the place on the line; else it is the whole line.
+    With a place, the match is that many tokens from the start on the line; else it is the whole line.
     """
-    f = findings if "cobra" in findings.columns else findings.withColumn("cobra", F.lit(None).cast("string"))
-    at = F.split("cobra", " +")
+    f = findings if "place" in findings.columns else findings.withColumn("place", F.lit(None).cast("string"))
+    at = F.split("place", " +")
     f = f.select("type", "message", F.col("file").alias("fnm"), F.col("line").cast("int").alias("lnr"), F.try_element_at(at, F.lit(2)).cast("int").alias("_p"), F.try_element_at(at, F.lit(3)).cast("int").alias("_n"))
     w = Window.partitionBy("fid", "lnr").orderBy("seq")
     t = tokens.withColumn("_k", F.row_number().over(w) - 1)
@@ -96,5 +96,6 @@ def import_findings(tokens: DataFrame, findings: DataFrame, name: str = "json")
     return MatchFrame(out.select(F.coalesce("type", F.lit(name)).alias("set"), "fid", "from_seq", "upto_seq", F.col("lnr").alias("from_lnr"), F.col("lnr").alias("upto_lnr"), F.col("message").alias("msg")))
 
 
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("type string, message string, file string, line int, cobra string").option("multiLine", True).json(path)
+def read_findings(spark: SparkSession, path: str, field: str = "place") -> DataFrame:
+    """Findings of a JSON file; ``field`` is what the file calls the place of a finding on its line."""
+    return spark.read.schema(f"type string, message string, file string, line int, `{field}` string").option("multiLine", True).json(path).withColumnRenamed(field, "place")

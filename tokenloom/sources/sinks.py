@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from ..operators.match import MatchFrame
 
-FINDING = ("type", "message", "file", "line", "source", "bindings", "cobra")
+FINDING = ("type", "message", "file", "line", "source", "bindings", "place")
 
 
 def findings(matches: MatchFrame, tokens: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """(type, message, file, line, source, bindings, cobra); with lines, the first source line."""
+    """(type, message, file, line, source, bindings, place); with lines, the first source line."""
     names = tokens.where("seq = 0").select(F.col("fid").alias("_f"), "fnm")
     first = tokens.groupBy(F.col("fid").alias("_g"), F.col("lnr").alias("_l")).agg(F.min("seq").alias("_s"))
     out = matches.df.join(names, F.col("fid").eqNullSafe(F.col("_f"))).join(first, F.col("fid").eqNullSafe(F.col("_g")) & (F.col("from_lnr") == F.col("_l")))
-    out = out.withColumn("cobra", F.format_string("no_cpp %d %d", F.col("from_seq") - F.col("_s"), F.col("upto_seq") - F.col("from_seq") + 1))
+    out = out.withColumn("place", F.format_string("no_cpp %d %d", F.col("from_seq") - F.col("_s"), F.col("upto_seq") - F.col("from_seq") + 1))
     out = out.withColumn("bindings", F.array_join(F.transform(F.coalesce("bindings", F.array()), lambda b: F.concat(b["name"], F.lit("="), b["text"])), ", "))
     if lines is not None:
         src = lines.select(F.col("fid").alias("_h"), F.col("lnr").alias("_m"), F.col("line").alias("source"))
         out = out.join(src, F.col("fid").eqNullSafe(F.col("_h")) & (F.col("from_lnr") == F.col("_m")), "left")
     else:
         out = out.withColumn("source", F.lit(None).cast("string"))
-    return out.select(F.col("set").alias("type"), F.coalesce("msg", "set").alias("message"), F.col("fnm").alias("file"), F.col("from_lnr").alias("line"), "source", "bindings", "cobra")
+    return out.select(F.col("set").alias("type"), F.coalesce("msg", "set").alias("message"), F.col("fnm").alias("file"), F.col("from_lnr").alias("line"), "source", "bindings", "place")
 
 
 def to_json(found: DataFrame, plus: bool = False) -> DataFrame:
