@@ -121,3 +121,14 @@ def equal(a, b) -> Column:
     """Equality across kinds: a numeric text equals its number."""
     x, y = _c(a).cast("string"), _c(b).cast("string")
     return F.coalesce(F.when(x.try_cast("double").isNotNull() & y.try_cast("double").isNotNull(), x.try_cast("double") == y.try_cast("double")).otherwise(x == y), F.lit(False))
+
+
+def bits(a, op: str, b=None) -> Column:
+    """``|``, ``&``, ``^``, ``<<``, ``>>`` of two whole numbers, ``~`` of one; other numbers lose their fraction first."""
+    x = _c(a).cast("long")
+    if op == "~":
+        return F.bitwise_not(x)
+    y = _c(b).cast("long")
+    if op in ("<<", ">>"):
+        return F.call_function("shiftleft" if op == "<<" else "shiftright", x, y.cast("int"))
+    return {"|": x.bitwiseOR, "&": x.bitwiseAND, "^": x.bitwiseXOR}[op](y)

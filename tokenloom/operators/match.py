@@ -193,11 +193,12 @@ class MatchFrame:
         out = df.join(got, df.fid.eqNullSafe(F.col("_f")) & (F.col("seq") == F.col("_s")), "left")
         return TokenFrame(out.withColumn("mark", F.coalesce("_m", F.lit(0)).cast("int")).drop("_f", "_s", "_m"), tokens)
 
-    def display(self, fnm: DataFrame | None = None, least: int = 0, most: int | None = None, nth: int | None = None) -> DataFrame:
-        """Matches of between ``least`` and ``most`` lines, numbered; ``nth`` picks one of each set."""
+    def display(self, fnm: DataFrame | None = None, least: int = 0, most: int | None = None, nth: int | None = None, only: str | None = None) -> DataFrame:
+        """Matches of between ``least`` and ``most`` lines, numbered; ``nth`` picks one of each set, ``only`` (with ``fnm``) those of one file."""
         df = self.df.withColumn("n_lines", F.col("upto_lnr") - F.col("from_lnr") + 1)
         df = df.where((F.col("n_lines") >= least) & (F.lit(True) if most is None else F.col("n_lines") <= most))
         df = df.withColumn("nr", F.row_number().over(Window.partitionBy("set").orderBy(*_KEY)))
         if fnm is not None:
             df = df.join(fnm.select("fid", "fnm"), "fid")
+            df = df if only is None else df.where(F.col("fnm") == only)
         return df if nth is None else df.where(F.col("nr") == nth)

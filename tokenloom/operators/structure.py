@@ -92,6 +92,12 @@ def context(edges: DataFrame, name: str) -> DataFrame:
     return edges.where(F.col("caller") == name).select(F.lit("calls").alias("relation"), F.col("callee").alias("name")).union(edges.where(F.col("callee") == name).select(F.lit("called by"), "caller")).distinct()
 
 
+def find_name(tokens: DataFrame, name: str, function: str | None = None) -> DataFrame:
+    """(fid, seq, lnr, fct) of each use of an identifier, within one function if it is given."""
+    t = with_function(source(tokens)).where((F.col("typ") == "ident") & (F.col("txt") == name))
+    return (t if function is None else t.where(F.col("fct") == function)).select("fid", "seq", "lnr", "fct")
+
+
 def function_source(tokens: DataFrame, lines: DataFrame, name: str) -> DataFrame:
     f = functions(tokens).where(F.col("name") == name).select("fid", F.explode(F.sequence("from_lnr", "upto_lnr")).alias("lnr"))
     return lines.join(f, ["fid", "lnr"]).select("fid", "lnr", "line")

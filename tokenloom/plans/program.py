@@ -72,6 +72,16 @@ class Program:
         first = self.df.groupBy("fid", key).agg(F.min("seq").alias("_s")).groupBy(key).agg(F.min(F.struct("fid", "_s")).alias("_first"))
         return first.withColumn("nr", F.row_number().over(Window.orderBy(F.desc("_first"))) - 1).drop("_first")
 
+    @staticmethod
+    def unset(array: DataFrame, **keys) -> DataFrame:
+        """``unset A[k]``: an array (a row a key) without the rows of these keys; without keys, ``unset A``: no rows."""
+        if not keys:
+            return array.limit(0)
+        hit = F.lit(True)
+        for k, v in keys.items():
+            hit = hit & F.col(k).eqNullSafe(F.lit(v))
+        return array.where(~hit)
+
     def ends(self) -> DataFrame:
         """First and last token of each file."""
         return self.df.groupBy("fid").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
