@@ -737,3 +737,31 @@ def test_pipeline_is_its_stages(spark):
     place = sharding.feistel(np.arange(len(sample)), len(sample), 17)
     per = max(1, -(-len(sample) // 64))
     assert got == {k: (int(x) // per, int(x) % per) for k, x in zip(sample, place)}
+
+
+CLASHES = ["_gone", "_bad", "_part", "_cell_source", "gone", "held", "cell_lang", "p", "range", "rep", "key", "family"]
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_stages_on_odd_tables(spark, rows):
+    """Which rows each stage keeps of nulls, empty and long texts and repeated rows, beside columns of the names that it works with."""
+    import corpus_pipeline as p
+
+    d = docs(spark, rows or ODD).selectExpr("*", *[f"'mine' as {c}" for c in CLASHES])
+    d = d if rows else d.limit(0)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    everything = sorted(d.collect(), key=key)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, d, SF)
+        assert out.columns == d.columns, name
+        got = sorted(out.collect(), key=key)
+        if name == "quality":
+            assert all(r in everything for r in got) and all((r.text or "").strip() for r in got)
+        elif name == "mixing":
+            assert all(r in everything for r in got)
+        else:
+            assert got == everything, name
+    out = p.STAGES[-1][1](spark, d, SF)
+    assert out.columns == [*d.columns, "row_num", "shard", "slot"]
+    assert sorted(r.row_num for r in out.collect()) == list(range(len(rows)))
+    assert sorted((tuple(r)[: len(d.columns)] for r in out.collect()), key=repr) == sorted(map(tuple, everything), key=repr)
