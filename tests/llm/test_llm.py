@@ -584,6 +584,15 @@ def test_private_spans(spark):
     assert all(r.doc_id < 100 for r in got)
 
 
+def test_keys_of_an_issuer_are_found_without_context(spark):
+    r = random.Random(8)
+    key = lambda: "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+    keys = {i: key() for i in range(200)}
+    rows = [(i, " ".join([*words(5, i), k if i % 2 else f'token = "{r.getrandbits(160):040x}"', *words(5, 100 + i)])) for i, k in keys.items()]
+    got = {x.doc_id for x in pii.find(docs(spark, rows)).where("kind = 'secret'").collect()}
+    assert got == {i for i, k in keys.items() if i % 2 == 0 or re.search("[0-9]", k)}
+
+
 def test_more_kinds_and_long_secrets(spark):
     secret = "Qw" * 45 + "7" + "zX" * 12 + "9021"
     lines = ["My ssn: 123-45-6789.", "from 2001:db8:85a3::8a2e:370:7334 port", "IBAN: DE89370400440532013000 ok", f'password = "{secret}"', "card 4111 1111 1111 1111", "at 12:30:45 on 01-02-2003"]

@@ -39,8 +39,8 @@ _PROPOSE = re.compile(
     |(?P<secret>(?<![A-Za-z0-9])[A-Za-z0-9_+/-]{20,}(?![A-Za-z0-9]))
     |(?P<ip>(?<![\d.])\d{1,4}(?:\.\d{1,4})+(?![\d.]*\d)|(?<![\w:.])(?=:{0,2}[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-    |(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d[\d .-]{4,13}\d|\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|(?<!\d)\d{3}[.-]\d{3}[.-]\d{4}(?!\d))
-    |(?P<card>(?<!\d)\d{4}(?:[ -]?\d{2,6}){2,4}(?!\d)|(?<![\d.])\d{1,12}(?![\d.]))""",
+    |(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d[\d .-]{4,13}\d(?!\d)|\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|(?<!\d)\d{3}[.-]\d{3}[.-]\d{4}(?!\d))
+    |(?P<card>(?<!\d)\d{4}(?:[ -]?\d{2,6}){2,4}(?!\.?\d)|(?<![\d.])\d{1,12}(?![\d.]))""",
     re.X,
 )
 _STRICT = {
@@ -57,6 +57,8 @@ _TLDS = {*"com org net edu gov mil int info biz io ai app dev co me tv cloud tec
 #: Country codes of telephone numbers, and of bank accounts with their length.
 _DIAL = {*"1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 234 254 351 352 353 354 358 370 371 372 375 380 381 385 386 420 421 852 880 886 961 962 965 966 971 972 974".split()}
 _IBAN = {"DE": 22, "FR": 27, "ES": 24, "IT": 27, "GB": 22, "NL": 18, "BE": 16, "AT": 20, "CH": 21, "PT": 25, "IE": 22, "LU": 20, "PL": 28, "CZ": 24, "SK": 24, "HU": 28, "RO": 24, "BG": 22, "GR": 27, "DK": 18, "SE": 24, "NO": 15, "FI": 18, "EE": 20, "LV": 21, "LT": 20, "SI": 19, "HR": 21, "TR": 26, "SA": 24, "AE": 23, "IL": 23}
+#: How keys of well-known issuers begin.
+_ISSUED = re.compile(r"(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abpr]-|sk-|glpat-|npm_)[\w-]{12,}")
 _KEYS = re.compile(r"(?:token|secret|api[_-]?key|password|passwd|pwd|bearer|credential)s?\s*[=:]\s*[\"']?$", re.I)
 _CUES = {
     "email": re.compile(r"(?:e-?mail|contact|write|mailto)\W*$", re.I),
@@ -118,11 +120,11 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
         check = 0 if digits < 13 else 1 if _luhn("".join(c for c in span if c.isdigit())) else -1
     else:
         letters = sum(c.isalpha() for c in span)
-        gazetteer = 1 if _KEYS.search(before) else 0
+        gazetteer = 1 if _ISSUED.fullmatch(span) or _KEYS.search(before) else 0
         plausible = 1 if digits >= 4 and letters >= 2 and len({*span.lower()}) >= 8 else -1
     cue = _CUES.get(kind)
     context = -1 if _AGAINST.search(before) else 1 if (kind == "secret" and _KEYS.search(before)) or (cue and cue.search(before)) else 0
-    least = {"email": 8, "secret": 28, "ip": 7, "phone": 10, "card": 13, "ssn": 11, "iban": 15}[kind]
+    least = {"email": 8, "secret": 20, "ip": 7, "phone": 10, "card": 13, "ssn": 11, "iban": 15}[kind]
     return strict, gazetteer, context, 1 if len(span) >= least else -1, plausible, check
 
 
