@@ -269,3 +269,18 @@ def test_frame_lists_and_displays(spark):
     lines = lexer.lines(spark.createDataFrame([(1, "t.c", CODE)], "fid long, fnm string, text string"))
     assert f.display(lines, 1).where("marked").count() == 2 and f.display(lines, 1, 2).count() == 3
     assert "return a + b ;" in f.reprint().where("lnr = 3").head().line
+
+
+def test_code_tokens_go_out_in_bounded_batches():
+    import pyarrow as pa
+
+    texts = ["int a; { b(); }\n" * 3000, "", None, "x = 1;", "{ }" * 9000]
+    b = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(["f"] * 5), pa.array(texts)], names=["fid", "fnm", "text"])
+    out = list(lexer._code("c", False, False, False, True, True)(iter([b, b])))
+    assert max(x.num_rows for x in out) <= lexer.BATCH < sum(x.num_rows for x in out)
+    got = [(r["fid"], r["seq"], r["txt"], r["jmp"]) for x in out for r in x.to_pylist()]
+    want = []
+    for fid, text in [*enumerate(texts)] * 2:
+        txts = [t for _, t, _ in lexer.lex(text or "", eof=False)]
+        want += [(fid, i, t, j) for i, (t, j) in enumerate(zip(txts, lexer.nest(txts)[1], strict=True))]
+    assert got == want
