@@ -160,3 +160,17 @@ def test_frames_do_not_depend_on_partitions(tokens):
     one = marks(TokenFrame(tokens.repartition(1)).mark("a").next("b"))
     assert one == marks(TokenFrame(tokens.repartition(9)).mark("a").next("b"))
     assert F is not None
+
+
+def test_jump_and_contains_read_the_tokens_once(spark):
+    rows = [(None, "f", i, 1, t) for i, t in enumerate("{ a { b } { } } { }".split())] + [(7, "g", i, 1, t) for i, t in enumerate("} { a".split())]
+    df = lexer.with_defaults(lexer.nested(spark.createDataFrame(rows, "fid long, fnm string, seq long, lnr int, txt string")))
+    f = TokenFrame(df).mark("{")
+    far = TokenFrame(f.df.withColumn("bound", F.when(F.col("seq") == 0, 99).when(F.col("seq") == 2, 7).cast("long")))
+    for frame in (f.jump(), f.contains("b"), f.contains("b", no=True)):
+        plan = frame.marks()._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+    assert marks(f.jump()) == {(None, 4), (None, 6), (None, 7), (None, 9)}
+    assert marks(far.jump()) == {(None, 6), (None, 7), (None, 9)}  # a bound that no token has is nobody's
+    assert marks(f.contains("b")) == {(None, 0), (None, 2)} and marks(f.contains("b", no=True)) == {(None, 5), (None, 8)}
+    assert f.jump().df.columns == f.df.columns and f.jump().df.count() == len(rows)
