@@ -174,3 +174,25 @@ def test_jump_and_contains_read_the_tokens_once(spark):
     assert marks(far.jump()) == {(None, 6), (None, 7), (None, 9)}  # a bound that no token has is nobody's
     assert marks(f.contains("b")) == {(None, 0), (None, 2)} and marks(f.contains("b", no=True)) == {(None, 5), (None, 8)}
     assert f.jump().df.columns == f.df.columns and f.jump().df.count() == len(rows)
+
+
+def test_patterns_and_programs_ask_only_for_what_they_read(spark):
+    from tokenloom.plans.program import Program
+
+    texts = ["{ a padding } x { b }", "} { ( } )", "", None, "{ { c } }"]
+    t = lexer.with_defaults(lexer.nested(lexer.text_tokens(spark.createDataFrame([*enumerate(texts)], "fid long, text string").withColumn("fnm", F.lit("f")))))
+    found = pattern.search(t, "{ ^padding* }").df
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Pandas" not in plan
+    assert {(r.fid, r.from_seq, r.upto_seq) for r in found.collect()} == {(0, 5, 7), (4, 0, 4), (4, 1, 3)}
+    assert [(r.fid, r.from_seq) for r in pattern.search(t, "{@1 .* }").df.collect()] == [(4, 1)]
+
+    def body(c):
+        for k in c:
+            if k["txt"] == "{":
+                k["own"] = 1
+                assert (k | {"x": 2})["x"] == 2 and "curly" in k and k.get("none", 5) == 5 and dict(k)["own"] == k.copy()["own"] == 1
+                yield {"fid": k["fid"], "seq": k["seq"], "jmp": k["jmp"], "n": len(c.tokens[k["seq"] :])}
+
+    got = {tuple(r) for r in Program(t).run(body, "fid long, seq long, jmp long, n long").collect()}
+    assert got == {(0, 0, 3, 8), (0, 5, 7, 3), (1, 1, 3, 4), (4, 0, 4, 5), (4, 1, 3, 4)}
