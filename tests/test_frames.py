@@ -196,3 +196,13 @@ def test_patterns_and_programs_ask_only_for_what_they_read(spark):
 
     got = {tuple(r) for r in Program(t).run(body, "fid long, seq long, jmp long, n long").collect()}
     assert got == {(0, 0, 3, 8), (0, 5, 7, 3), (1, 1, 3, 4), (4, 0, 4, 5), (4, 1, 3, 4)}
+
+
+def test_matches_having_a_token_need_no_join(spark):
+    f = spark.createDataFrame([*enumerate(["of a the b", "of", "", None, "x the x the of"])], "fid long, text string").withColumn("fnm", F.lit("f"))
+    t = lexer.text_tokens(f)
+    m = MatchFrame(t.where("seq = 1").select("fid", F.col("seq").alias("from_seq"), F.lit(3).alias("upto_seq")))
+    kept = m.having(t, F.col("txt") == "the").df
+    assert [r.fid for r in kept.orderBy("fid").collect()] == [0, 4]
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert m.having(t, F.col("txt") == "nowhere").df.count() == 0
