@@ -206,3 +206,18 @@ def test_matches_having_a_token_need_no_join(spark):
     assert [r.fid for r in kept.orderBy("fid").collect()] == [0, 4]
     assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
     assert m.having(t, F.col("txt") == "nowhere").df.count() == 0
+
+
+def test_global_numbers_need_no_sort_of_tokens(spark):
+    rows = [(i, None if i == 5 else "a b" * (i % 3), "f") for i in (70_000, 1, 5, 3, 65_537)]
+    t = lexer.text_tokens(spark.createDataFrame(rows, "fid long, text string, fnm string"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lexer.with_global_seq(t)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = [(r.fid, r.seq) for r in out.orderBy("gseq").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "ShuffledHashJoin [fid" in plan
+    assert got == sorted((r.fid, r.seq) for r in t.collect()) and [r.gseq for r in out.orderBy("gseq").collect()] == list(range(len(got)))
