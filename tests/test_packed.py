@@ -67,7 +67,7 @@ def test_places_are_the_marks(spark, odd):
         assert sorted((r.fid, r.seq, r.mark) for r in marked.collect()) == sorted((r.fid, r.seq, r.mark) for r in m.places(bits).collect())
 
 
-ONE_PASS = ["set_minus", "set_follows", "set_overlaps", "set_meets", "set_and", "set_summary", "set_during", "set_overlapped"]
+ONE_PASS = ["set_minus", "set_follows", "set_overlaps", "set_meets", "set_and", "set_summary", "set_during", "set_overlapped", "set_to_marks"]
 
 
 @pytest.mark.parametrize("name", ONE_PASS)
