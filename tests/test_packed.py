@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tokenloom import queries
-from tokenloom.operators import lexer
+from tokenloom.operators import duplicates, lexer
 from tokenloom.operators.frame import TokenFrame
 from tokenloom.operators.match import MatchFrame
 from tokenloom.plans import pattern
@@ -74,3 +74,26 @@ ONE_PASS = ["set_minus", "set_follows", "set_overlaps", "set_meets", "set_and",
 def test_texts_are_read_once_and_tokens_not_shuffled(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1 and "Generate posexplode" not in plan
+
+
+def _texts(spark):
+    r = random.Random(6)
+    word = lambda: r.choice("a b c dd é . ( _x".split())
+    base = [word() for _ in range(60)]
+    texts = [" ".join(base), " ".join([*base[:30], "X", *base[31:]]), " ".join(base * 3), None, "", "a b\na", "a " * 90, " ".join(word() for _ in range(400)), "z " + " ".join(base[5:45]) + "\n a"]
+    return spark.createDataFrame([(k, "f", x) for k, x in enumerate(texts)], "fid long, fnm string, text string")
+
+
+@pytest.mark.parametrize("n", (1, 2, 3, 10, 20, 33))
+def test_repeated_windows_of_text_are_those_of_its_tokens(spark, n):
+    f = _texts(spark)
+    t = lexer.text_tokens(f)
+    key = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+    got, want = duplicates.repeated(f, n), duplicates.repeated(t, n)
+    assert key(got, "fid", "seq", "lnr", "copies") == key(want, "fid", "seq", "lnr", "copies")
+    if n < 20:
+        c = ("copies", "files", "first_fid", "first_seq")
+        assert key(duplicates.multiclones(f, n, 3), *c) == key(duplicates.multiclones(t, n, 3), *c)
+    else:
+        c = ("a_fid", "a_from", "a_upto", "b_fid", "b_from", "b_upto", "n_tokens")
+        assert key(duplicates.fragments(f, n), *c) == key(duplicates.fragments(t, n), *c) and got.count()

@@ -1,11 +1,27 @@
-"""Duplicate fragments of at least n tokens: windows, diagonals, islands."""
+"""Duplicate fragments of at least n tokens: windows, diagonals, islands.
+
+The operators take tokens or files of text (fid, fnm, text). Of files no token is
+shuffled: a file's windows are hashed where its text is read, and only those are
+that can repeat. A window's sign is the least hash of the runs of half its length
+in it; windows alike have signs alike. The signs of all files (a few for each n
+tokens) are counted, and windows whose sign stands at too few places are left out.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from . import packed
 from .windows import in_order
 
+_KEYS = ("tokenloom-keys-1", "tokenloom-keys-2")
+#: Windows of one Arrow batch.
+BATCH = 1 << 17
 
 
 def abstracted(tokens: DataFrame, *kinds: str) -> DataFrame:
@@ -40,8 +56,68 @@ def windows(tokens: DataFrame, n: int) -> DataFrame:
     return out.where("_all_key is not null").select("fid", "seq", "lnr", F.col("_all_key").alias("key"), F.col("_all_key2").alias("key2"))
 
 
+def _signs(c: packed.Chunk, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the run at each token, and the sign of the window at each; whether a window ends in its row isn't asked."""
+    runs = packed.runs(h, max(1, n // 2))
+    return runs, packed.slide(runs, n - max(1, n // 2) + 1, np.minimum)
+
+
+def _sign_rows(n: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for part, c in packed.chunks(b):
+                runs, sign = _signs(c, c.hashes(_KEYS[0]), n)
+                if not len(sign):
+                    continue
+                # a run is counted where it is the sign of a window that holds it
+                edge = np.zeros(len(runs) - len(sign), np.uint64)
+                most = packed.slide(np.concatenate([edge, np.where(c.whole(n), sign, np.uint64(0)), edge]), len(edge) + 1, np.maximum)
+                at = np.flatnonzero(most == runs)
+                pair = np.lexsort((runs[at], c.row[at]))
+                at = at[pair]
+                new = np.ones(len(at), bool)
+                new[1:] = (runs[at[1:]] != runs[at[:-1]]) | (c.row[at[1:]] != c.row[at[:-1]])
+                one = np.flatnonzero(new)
+                times = np.diff(np.append(one, len(at))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(runs[at[one]].view(np.int64)), b.column(0)[part].take(pa.array(c.row[at[one]])), pa.array(times)], ["sign", "fid", "times"])
+
+    return run
+
+
+def _window_rows(n: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for part, c in packed.chunks(b):
+                h = c.hashes(_KEYS[0])
+                _, sign = _signs(c, h, n)
+                at = np.flatnonzero(c.whole(n) & np.isin(sign, b.column(2)[part].flatten().to_numpy().view(np.uint64)))
+                keys = packed.runs(h, n)[at], packed.runs(c.hashes(_KEYS[1]), n)[at]
+                for i in range(0, len(at), BATCH):
+                    x = at[i : i + BATCH]
+                    cols = [b.column(0)[part].take(pa.array(c.row[x])), pa.array(c.seq[x]), pa.array(c.lines(x)), *(pa.array(k[i : i + BATCH].view(np.int64)) for k in keys)]
+                    yield pa.RecordBatch.from_arrays(cols, ["fid", "seq", "lnr", "key", "key2"])
+
+    return run
+
+
+def text_windows(files: DataFrame, n: int, least: int = 2) -> DataFrame:
+    """As ``windows``, of files of text by the text lexer: all that stand at ``least`` or more places, and few others.
+
+    A row is a file; a null text has no tokens.
+    """
+    files = files.select(F.col("fid").cast("long").alias("fid"), F.col("text").cast("string").alias("text"))
+    signs = files.mapInArrow(_sign_rows(n), "sign long, fid long, times int").withColumn("_n", F.sum("times").over(Window.partitionBy("sign")))
+    kept = signs.where(F.col("_n") >= least).groupBy(F.col("fid").alias("_f")).agg(F.collect_set("sign").alias("signs"))
+    some = files.join(kept, F.col("fid").eqNullSafe(F.col("_f"))).select("fid", "text", "signs")
+    return some.mapInArrow(_window_rows(n), "fid long, seq long, lnr int, key long, key2 long")
+
+
 def repeated(tokens: DataFrame, n: int) -> DataFrame:
-    """Windows whose text stands at two or more places: counted before they are shuffled, so a frequent one isn't one task's work."""
+    """Windows whose text stands at two or more places. Of tokens, they are counted before they are shuffled; of files, once
+    they are: a frequent one is then one task's work, in memory and beyond it on disk."""
+    if "text" in tokens.columns:
+        out = text_windows(tokens, n).withColumn("copies", F.count("*").over(Window.partitionBy("key", "key2")))
+        return out.where("copies > 1")
     every = windows(tokens, n)
     many = every.groupBy("key", "key2").agg(F.count("*").alias("copies")).where("copies > 1")
     return every.join(many, ["key", "key2"])
@@ -54,9 +130,11 @@ def fragments(tokens: DataFrame, n: int = 100) -> DataFrame:
     one in the next file. So copies of one fragment form a chain and the pairs stay linear in them; runs along a diagonal
     (equal distance) are one fragment.
     """
-    d = repeated(tokens, n)
-    here = F.min("seq").over(Window.partitionBy("key", "key2", "fid").orderBy("seq").rangeBetween(n, Window.unboundedFollowing))
-    there = F.min(F.struct("fid", "seq")).over(Window.partitionBy("key", "key2").orderBy("fid").rangeBetween(1, Window.unboundedFollowing))
+    d = repeated(tokens, n).where("fid is not null")
+    # in the reverse order: a frame that ends in UNBOUNDED FOLLOWING is computed anew for each row, the square of a window's copies
+    key = Window.partitionBy("key", "key2")
+    here = F.min("seq").over(Window.partitionBy("key", "key2", "fid").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -n))
+    there = F.min(F.struct("fid", "seq")).over(key.orderBy(F.desc("fid")).rangeBetween(Window.unboundedPreceding, -1))
     pairs = d.withColumn("_here", here).withColumn("_there", there)
     pairs = pairs.withColumn("b_fid", F.when(F.col("_here").isNotNull(), F.col("fid")).otherwise(F.col("_there.fid"))).withColumn("b_seq", F.coalesce("_here", "_there.seq"))
     pairs = pairs.where("b_fid is not null").withColumn("diagonal", F.col("b_seq") - F.col("seq"))
@@ -90,5 +168,9 @@ def patches(fragments_: DataFrame, gap: int = 25) -> DataFrame:
 
 def multiclones(tokens: DataFrame, n: int = 100, least: int = 3) -> DataFrame:
     """(copies, files, first_fid, first_seq) of each window that stands at ``least`` or more places, with the first of them."""
-    out = windows(tokens, n).groupBy("key", "key2").agg(F.count("*").alias("copies"), F.countDistinct("fid").alias("files"), F.min(F.struct("fid", "seq")).alias("at"))
+    if "text" in tokens.columns:
+        one = text_windows(tokens, n, least).repartition("key", "key2").groupBy("key", "key2", "fid").agg(F.count("*").alias("_n"), F.min("seq").alias("seq"))
+        out = one.groupBy("key", "key2").agg(F.sum("_n").alias("copies"), F.count("fid").alias("files"), F.min(F.struct("fid", "seq")).alias("at"))
+    else:
+        out = windows(tokens, n).groupBy("key", "key2").agg(F.count("*").alias("copies"), F.countDistinct("fid").alias("files"), F.min(F.struct("fid", "seq")).alias("at"))
     return out.where(F.col("copies") >= least).select("copies", "files", F.col("at.fid").alias("first_fid"), F.col("at.seq").alias("first_seq"))
