@@ -97,3 +97,12 @@ def test_repeated_windows_of_text_are_those_of_its_tokens(spark, n):
     else:
         c = ("a_fid", "a_from", "a_upto", "b_fid", "b_from", "b_upto", "n_tokens")
         assert key(duplicates.fragments(f, n), *c) == key(duplicates.fragments(t, n), *c) and got.count()
+
+
+TWO_PASSES = ["dup_fragments", "dup_patches"]
+
+
+@pytest.mark.parametrize("name", TWO_PASSES)
+def test_windows_are_hashed_where_texts_are_read(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2 and "Generate posexplode" not in plan and "UnboundedFollowing" not in plan and "unboundedfollowing" not in plan
