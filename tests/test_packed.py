@@ -99,7 +99,7 @@ def test_repeated_windows_of_text_are_those_of_its_tokens(spark, n):
         assert key(duplicates.fragments(f, n), *c) == key(duplicates.fragments(t, n), *c) and got.count()
 
 
-TWO_PASSES = ["dup_fragments", "dup_patches"]
+TWO_PASSES = ["dup_fragments", "dup_patches", "multiclones"]
 
 
 @pytest.mark.parametrize("name", TWO_PASSES)
