@@ -8,7 +8,7 @@ import pytest
 from tokenloom import queries
 from tokenloom.operators import duplicates, lexer
 from tokenloom.operators.frame import TokenFrame
-from tokenloom.operators.match import MatchFrame
+from tokenloom.operators.match import MATCHES, MatchFrame
 from tokenloom.plans import pattern
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +77,16 @@ def test_texts_are_read_once_and_tokens_not_shuffled(spark, name):
     assert plan.count("parquet") == 1 and "Generate posexplode" not in plan
 
 
+def test_text_is_searched_without_bindings(spark, odd):
+    found = pattern.search_text(odd, [("A", "of /^[a-z]+$", "m"), ("B", "/^[a-z]+$ the /^[a-z]+$", None)], [("C", ".")])
+    a, b = found.of("A"), found.of("B")
+    assert found.df.schema == a.df.schema == a.overlaps(b).df.schema == MATCHES and {r.bindings for r in found.df.collect()} == {None}
+    assert sorted(r.set for r in found.summary().collect()) == ["A", "B", "C"] and not found.of("D").df.count()
+    for name in ("set_overlaps", "set_overlapped"):  # no column of nulls goes to the kernel
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 2 and "bindings" not in plan
+
+
 def _texts(spark):
     r = random.Random(6)
     word = lambda: r.choice("a b c dd é . ( _x".split())
