@@ -3,10 +3,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tokenloom import queries
-from tokenloom.operators import duplicates, lexer
+from tokenloom.operators import duplicates, lexer, packed
 from tokenloom.operators.frame import TokenFrame
 from tokenloom.operators.match import MATCHES, MatchFrame
 from tokenloom.plans import pattern
@@ -118,3 +121,46 @@ def test_windows_are_hashed_where_texts_are_read(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 2 and "Generate posexplode" not in plan
     assert not re.search(r"RangeFrame, \d+, unboundedfollowing", plan)  # the square of a window's copies
+
+
+def test_rows_are_packed_by_bucket(monkeypatch):
+    monkeypatch.setattr(packed, "ROWS", 100)
+    rng = np.random.default_rng(7)
+    key, nr, on = rng.integers(-(2**63), 2**63, 1000), np.arange(1000), rng.random(1000) < 0.5
+    kinds = ("i8", "i4", "?")
+    batches = list(packed.pack(iter([(key[:730], nr[:730], on[:730]), (key[:0], nr[:0], on[:0]), (key[730:], nr[730:], on[730:])]), kinds))
+    assert len(batches) > 5
+    t = pa.Table.from_batches(batches).sort_by("bucket")
+    got = list(packed.unpack(iter(t.to_batches(max_chunksize=7)), kinds))
+    assert all(len({*(k & (packed.BUCKETS - 1))}) == 1 for k, _, _ in got) and len(got) == len({*(key & (packed.BUCKETS - 1))})
+    assert sorted((int(k), int(i), bool(o)) for cols in got for k, i, o in zip(*cols)) == sorted(zip(key.tolist(), nr.tolist(), on.tolist()))
+
+
+def test_a_key_of_two_windows():
+    at, size = duplicates._alike(np.array([5, 3, 5, 5, 3, 5, 9]), np.array([1, 0, 2, 1, 0, 2, 0]), 2)
+    assert at[np.argsort(at)].tolist() == [0, 1, 2, 3, 4, 5] and size.tolist() == [2, 2, 2]
+    groups = np.split(at, np.cumsum(size)[:-1])
+    assert sorted(sorted(g.tolist()) for g in groups) == [[0, 3], [1, 4], [2, 5]]
+
+
+@pytest.mark.parametrize("n", (2, 20))
+def test_windows_of_files_without_a_number_and_of_one_number(spark, n):
+    f = _texts(spark)
+    f = f.union(f.where("fid = 0").withColumn("fid", F.lit(None).cast("long"))).union(f.where("fid = 2"))
+    t = lexer.text_tokens(f.where("fid is null or fid <> 2")).cache()  # of one number, a row is a file of its own
+    key = lambda df, *c: sorted((tuple(r[x] for x in c) for r in df.collect()), key=repr)
+    one = f.where("fid is null or fid <> 2")
+    assert key(duplicates.repeated(one, n, whole=False), "fid", "seq", "copies") == key(duplicates.repeated(t, n), "fid", "seq", "copies")
+    c = ("copies", "files", "first_fid", "first_seq")
+    assert key(duplicates.multiclones(one, n, 3), *c) == key(duplicates.multiclones(t, n, 3), *c)
+    got = key(duplicates.multiclones(f, n, 2), *c)
+    assert any(r[0] > r[1] + 1 for r in got) and any(r[2] is None for r in got)
+    c = ("a_fid", "a_from", "a_upto", "b_fid", "b_from", "b_upto", "n_tokens")
+    assert key(duplicates.fragments(one, n), *c) == key(duplicates.fragments(t, n), *c)
+
+
+@pytest.mark.parametrize("name", TWO_PASSES)
+def test_windows_are_shuffled_in_packs(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [bucket") == (2 if name in ("dup_windows", "multiclones") else 3)
+    assert plan.count("Window [") == (name == "dup_patches") and "key2" not in plan
